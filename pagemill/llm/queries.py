@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm.canonical import canonical_rows
 from pagemill.llm.garbled import garbled_words
 from pagemill.llm.split import split_oversized
 from pagemill.session import table
@@ -35,6 +36,21 @@ def p3_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return p3_pieces(spark, folder).groupBy("kind").agg(F.countDistinct("block_id").alias("n_blocks"), F.max(F.length("text")).alias("longest"), F.sum(F.when(F.col("piece_no") == F.col("n_pieces"), F.col("end_at"))).alias("n_chars"))
 
 
+def _words_and_cells(spark: SparkSession, folder: str) -> DataFrame:
+    words = table(spark, folder, "words").select(F.lit("words").alias("tab"), F.col("word_id").alias("rec_id"), "doc_id", "text")
+    return words.unionByName(table(spark, folder, "cells").select(F.lit("cells").alias("tab"), F.col("cell_id").alias("rec_id"), "doc_id", "text"))
+
+
+def p6_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    return canonical_rows(_words_and_cells(spark, folder))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    changed = p6_canonical(spark, folder).where(F.col("text").rlike(r"[^\x00-\x7F]")).select("tab", "rec_id")
+    garbled = garbled_words(table(spark, folder, "words")).select(F.lit("words").alias("tab"), F.col("word_id").alias("rec_id"))
+    return changed.join(garbled, ["tab", "rec_id"], "left_anti")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
