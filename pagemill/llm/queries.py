@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm.canonical import canonical_rows
 from pagemill.llm.garbled import garbled_words
+from pagemill.llm.leakage import leaked_items
 from pagemill.llm.split import split_oversized
 from pagemill.session import table
 
@@ -51,6 +52,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return changed.join(garbled, ["tab", "rec_id"], "left_anti")
 
 
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
@@ -59,4 +68,10 @@ def oracle_sql() -> dict[str, str]:
     limited = "SELECT DISTINCT b.block_id, b.kind, length(b.text) AS n, l.max_chars FROM blocks b JOIN split_limits l ON b.kind = l.kind WHERE b.text IS NOT NULL"
     return {
         "p3_found": f"SELECT block_id FROM ({limited}) WHERE n > max_chars",
+        "p7_found": r"""
+            WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+            b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
+            dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+            bg AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM b WHERE len(w) >= 8))
+            SELECT DISTINCT doc_id, item_id FROM dg JOIN bg USING (g)""",
     }
