@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.session import ship
+from pagemill.session import cut, ship
 
 # Encodings (fixed values): bytes of the first list read by the second.
 WIDE = ["utf-8"]
@@ -193,7 +193,7 @@ def examine(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["certain", "restored", "guesses"])
 
 
-def garbled_words(words: DataFrame, key: str = "word_id", established: int = 3) -> DataFrame:
+def garbled_words(words: DataFrame, key: str = "word_id", established: int = 3, broadcast_rows: int = 500_000) -> DataFrame:
     """The garbled words: key, doc_id, page, text, restored (null where the meaning is unknown).
 
     Words of recognised pages (confidence above 0, or null: native words always
@@ -201,7 +201,8 @@ def garbled_words(words: DataFrame, key: str = "word_id", established: int = 3)
     sequence but ``(cid:n)``, so only other texts are examined, each distinct
     text once. A text under one-byte suspicion counts when its restored core
     occurs at least ``established`` times in the collection and more often than the
-    core as it stands. Re-sent words count once; further columns are ignored.
+    core as it stands. The words asked for go to all executors only while there
+    are at most ``broadcast_rows`` of them, else both sides are shuffled. Re-sent words count once; further columns are ignored.
     """
     ship(words.sparkSession)
     native = words.where("confidence = 0 and text is not null")
@@ -209,12 +210,14 @@ def garbled_words(words: DataFrame, key: str = "word_id", established: int = 3)
     suspects = native.where(odd)
     kind = "certain boolean, restored string, guesses array<struct<meant:string,core:string,own:string>>"
     distinct = suspects.groupBy("text").agg(F.count("*").alias("n"))
-    examined = distinct.select("text", F.pandas_udf(lambda s: examine(s), kind)("text").alias("x")).select("text", "x.*")
+    # Read back from a checkpoint by the three steps that follow, so that each text is examined once.
+    examined = cut(distinct.select("text", F.pandas_udf(lambda s: examine(s), kind)("text").alias("x")).select("text", "x.*"))
     certain = examined.where("certain").select("text", "restored")
     doubtful = examined.where("size(guesses) > 0").select("text", F.explode("guesses").alias("g")).select("text", "g.*")
     # How often the cores occur: only the words asked for are counted.
     asked = doubtful.select(F.explode(F.array("core", "own")).alias("w")).distinct()
     bare = F.lower(F.btrim("text", F.lit(ASCII_MARKS)))
+    asked = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
     known = words.where("text is not null").select(bare.alias("w")).join(asked, "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
     judged = (
         doubtful.join(known.select(F.col("w").alias("core"), F.col("n").alias("meant_n")), "core")
