@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.canonical import canonical_rows
 from pagemill.llm.garbled import garbled_words
 from pagemill.llm.leakage import leaked_items
+from pagemill.llm.quality import text_types
 from pagemill.llm.split import split_oversized
 from pagemill.session import table
 
@@ -60,6 +61,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).select("doc_id", "item_id")
 
 
+def p9_types(spark: SparkSession, folder: str) -> DataFrame:
+    return text_types(table(spark, folder, "documents"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_types(spark, folder).where("not is_prose").select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
