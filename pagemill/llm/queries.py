@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.canonical import canonical_rows
 from pagemill.llm.garbled import garbled_words
 from pagemill.llm.leakage import leaked_items
+from pagemill.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
 from pagemill.llm.quality import text_types
 from pagemill.llm.split import split_oversized
 from pagemill.session import table
@@ -69,6 +70,22 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_types(spark, folder).where("not is_prose").select("doc_id")
 
 
+def _blocks_and_children(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of blocks, and of attachments whose bytes are valid UTF-8."""
+    blocks = table(spark, folder, "blocks").select(F.lit("blocks").alias("tab"), F.col("block_id").alias("rec_id"), "text")
+    data = F.col("data").cast("string")
+    children = table(spark, folder, "children").where("data is not null").where(F.is_valid_utf8(data)).select(F.lit("children").alias("tab"), F.col("child_id").alias("rec_id"), data.alias("text"))
+    return blocks.unionByName(children)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return duplicate_pairs(*near_duplicates(_blocks_and_children(spark, folder), threshold=0.5, words=3))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return duplicate_groups(*near_duplicates(_blocks_and_children(spark, folder), threshold=0.5, words=3))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
 
