@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagemill.session import cut
+
 SCRIPTS = ("latin", "cyrillic", "greek")
 
 # Look-alike letters (fixed values): Cyrillic or Greek letter and the Latin one of the same look.
@@ -174,10 +176,11 @@ def canonical_rows(rows: DataFrame, key: str = "rec_id") -> DataFrame:
     and its file has more Latin than other words. Re-sent rows count once.
     """
     odd = rows.where("text is not null").where(~F.col("text").rlike(SIMPLE)).select("tab", key, "doc_id", "text")
-    # Control and ASCII texts that only need other spaces are changed in place, without being a matter of look.
-    forms = canonical_texts(odd.select("text").distinct())
+    forms = cut(canonical_texts(odd.select("text").distinct()))  # read by several steps
     found = odd.join(forms, "text")
-    alike = found.where("alike and canonical = text or alike and latin_form <> canonical")
+    alike = cut(odd.join(forms.where("alike and latin_form <> text"), "text").select("doc_id", "text", "canonical", "latin_form").distinct())
+    if alike.isEmpty():
+        return found.where("canonical <> text").select("tab", key, "text", "canonical").dropDuplicates(["tab", key])
     asked = alike.select(F.lower("latin_form").alias("t")).union(alike.select(F.lower("canonical"))).distinct()
     counts = rows.select(F.lower("text").alias("t")).join(asked, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n"))
     scripts = (
@@ -186,7 +189,7 @@ def canonical_rows(rows: DataFrame, key: str = "rec_id") -> DataFrame:
         .agg(F.sum(F.col("text").rlike(r"^\W*[A-Za-z]").cast("int")).alias("latin"), F.sum(F.col("text").rlike("[\u0400-\u04FF\u0370-\u03FF]").cast("int")).alias("other"))
     )
     meant = (
-        alike.select("doc_id", "text", "latin_form", F.lower("latin_form").alias("t"), F.lower("canonical").alias("o")).distinct()
+        alike.withColumn("t", F.lower("latin_form")).withColumn("o", F.lower("canonical"))
         .join(counts.withColumnRenamed("n", "n_latin"), "t").join(counts.select(F.col("t").alias("o"), F.col("n").alias("n_own")), "o", "left").join(scripts, "doc_id")
         .where("n_latin >= 3 and n_latin > coalesce(n_own, 0) and latin > other")
         .select("doc_id", "text", F.col("latin_form").alias("chosen"))
