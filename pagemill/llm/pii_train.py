@@ -1,4 +1,4 @@
-"""Trains the tagger of ``pii_model``: ``python -m pagemill.llm.pii_train FOLDER OUT``.
+"""Trains the tagger of ``pii_model``: ``python -m pagemill.llm.pii_train FOLDER OUT [SECONDS [SEED [WEIGHTS TO GO ON FROM]]]``.
 
 Labelled spans are made here: sentences of blocks and attachments under FOLDER
 (at most ``BACKGROUND`` records, a documented bound) that no broad pattern
@@ -33,10 +33,11 @@ PLACE = "Harrowmere Valcombe Eschenfurt Fennwick Kestrelby Pellmarsh Ashmeer Bri
 STREET = "Saddler Foxglove Tannery Ropewalk Larkspur Millrace Lantern Orchard Candle Juniper Cobbler Hawthorn Mill Station Church Park River Garden".split()
 ROAD = "Street St. Avenue Ave. Lane Road Rd. Drive Terrace Row Close Court Way".split()
 HOST = "example.com example.org example.net mail.example paper.example depot.example office.invalid scan.test".split()
+ADVERB = "Immediately Slowly Clearly Manually Silently Rarely Often Nearly Always Quietly Safely Twice Formerly Correctly Carefully Partly Entirely Again Still Barely Only Never Once Oddly Roughly Neatly Mostly Badly Exactly Evenly Usually Boldly Lately Firmly Newly Softly However Meanwhile Today Tomorrow Later Finally Instead".split()
 THING = "benchmark token rectangle crop timetable switch ledger stain intake archive crate index record folder sales info".split()
 
 FRAMES = {
-    "name": "Attn: {}|Dear {}, the copy is enclosed.|Contact person: {}|Unterschrift: {}|Regards, {}|Prepared by {} on Monday.|According to {}, the copy is complete.|El registro lo firmó {}.|The form was signed by {}.|{} approved the layout.|Signed: {}|Kind regards,\n{}|Bearbeiter: {}|{}|Ms. {} called on Friday.|We met {} in the hall.|From: {} <box.12@mail.example>".split("|"),
+    "name": "Attn: {}|Dear {}, the copy is enclosed.|Contact person: {}|Unterschrift: {}|Regards, {}|Prepared by {} on Monday.|According to {}, the copy is complete.|El registro lo firmó {}.|The form was signed by {}.|{} approved the layout.|Signed: {}|Kind regards,\n{}|Bearbeiter: {}|{}|Ms. {} called on Friday.|We met {} in the hall.|From: {}\r\nDate: 1.2.2023|Thanks,\r\n{}|Yours,\r\n{}|Best regards,\r\n{}|Kind regards,\r\n{}|Author: {}|Reviewed by {} in May.|Grüße, {}|Cordialement, {}".split("|"),
     "email": "Rückfragen bitte an {}|E-mail: {}|Reply-To: {}|Écrire à {} avant vendredi.|The scans were sent by {} last week.|Questions go to {}.|Please write to {} about the originals.|({})|From: {}|Contact {} for details.|{}|CC: {}; thanks.".split("|"),
     "phone": "Phone {} or leave a note.|Call {} before noon.|Mobile: {}|Tel. {}|Tél. : {}|Telefon {}|Fax: {}|The desk answers on {} until five.|Phone: {}|Teléfono: {}|Ring {} any day.|{}".split("|"),
     "id_number": "Please redact {} before release.|Holder of {}.|On file: {}|({})|The applicant gave {}.|ID: {}|Copy of {} attached.|{}".split("|"),
@@ -47,6 +48,8 @@ DECOY = (
     "|Order code {C}{C}-{n5} covers {n2} pages.|File no. {n2} {n2} {n2} is a shelf mark.|Project {S} starts on 20{n2}-0{d}-1{d}.|Project {S} starts on 1{d}/0{d}/20{n2}.|Lane {d} of the scanner jammed at 1{d}:{n2}.|The box is {n2}.0, {n3}.0, {n3}.5, {n3}.0 in points.|Attn: Records Office|Dear Sir or Madam, the copy is enclosed.|Please write to the intake desk.|Attn: Front Desk"
     "|Call the desk before noon.|The call `{W}{W}()` moved the page.|Build {d}.{n2}.{d}|The meeting in {P} starts at {d}.{n2}.|Contact the {w} desk.|Part {n3} {n3} {n4} was shipped.|{P} {W} {W}|{W} {W} {W}|Room {n3}, {P}.|It was open near {P}.|Neither the {w} nor every {w} moved in {P}.|Sample {n3}-{n3}-{n4} was stored.|Signed copies go to the {w}.|From: {w} desk"
     "|Regards, the {w} office|Contact person: see the {w}|Prepared by the {w} on Monday.|According to the log, the {w} is complete.|Subject: {w} {w}, twice {w}|Date: {d}.{d}.2023|Lantern Street was closed.|The {W} Report|{S} Archive Ltd. approved the layout.|{S} & Sons sent the copy.|Serial {C}{C}{n5}{n3} was read.|Ticket {n3} {n3} {n3} is open.|`--{w}-{w} {n3}`|Account {n4} {n4} {n4} {n4} was closed."
+    "|{A}, the {w} moved the {w}.|{A}, every {w} {w} kept 4{d} {w}s.|{A}, a {w} of the {w} was {w}.|{A}, {n3} {w}s reached the {w}.|{A}, the {w}|Ask {S} {W} Archive for a copy.|Ask Blue {S} Press for {n3} copies.|{S} {W} GmbH sent it.|{W} And {W}|{W} Without The {W} {W}|{S} Institute moved to {P}.|The {U} {w} {U} the {w}.|{U} {n3} {w}s {w} the {U}.|{b64}|{C}{C}-{n5},{n4},{w},20{n2}-0{d}-1{d}\n{C}-{C}{n5},{n4},{w},1{d}/0{d}/20{n2}"
+    "|{w}; {w} {w}; {w} {w} and {w}; {w} of the {w}|Subject: {w} {w} and {w}|{W} {W}, {W} {W}|{W} {d}\t{W}\t{W}\n{P}\t{n5}\t{n4}|Project {S} ends in May.|Herr und Frau gehen zum {W}.|Mr and Mrs are titles.|Thanks,\r\nthe {w} team|In {P}, the {w} was {w}."
 )
 
 
@@ -123,7 +126,7 @@ class Maker:
             k = m[1]
             if k[0] == "n":
                 return self.digits(int(k[1:]))
-            return {"d": lambda: self.digits(1), "w": lambda: self.pick(self.words), "W": lambda: self.pick(self.words).capitalize(), "C": lambda: self.pick("BCDFGHJKMNPRTVWX"), "S": lambda: self.pick(STREET), "P": lambda: self.pick(PLACE), "hex": lambda: "".join(self.pick("0123456789abcdef") for _ in range(16))}[k]()
+            return {"d": lambda: self.digits(1), "w": lambda: self.pick(self.words), "W": lambda: self.pick(self.words).capitalize(), "C": lambda: self.pick("BCDFGHJKMNPRTVWX"), "S": lambda: self.pick(STREET), "P": lambda: self.pick(PLACE), "A": lambda: self.pick(ADVERB), "U": lambda: self.pick(self.words).upper(), "b64": lambda: "".join(self.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(160)), "hex": lambda: "".join(self.pick("0123456789abcdef") for _ in range(16))}[k]()
 
         return re.sub(r"\{(\w+)\}", fill, self.pick(self.decoys))
 
@@ -138,25 +141,39 @@ class Maker:
         at = frame.index("{}")
         return frame.replace("{}", value), at, at + len(value), kind
 
+    def shout(self, s: str) -> str:
+        """Some words in capitals, as in headings and alarms."""
+        return re.sub(r"[a-z]{3,}", lambda m: m[0].upper() if self.chance(0.2) else m[0], s) if self.chance(0.15) else s
+
+    def header(self) -> tuple[str, list[tuple[int, int, int]]]:
+        """A mail's sender: a name and an address between angle brackets."""
+        name = self.name()
+        mail = self.email()
+        start = self.pick(["From: ", "To: ", "Cc: ", "\ufeffFrom: ", "Von: ", "De : "])
+        text = f"{start}{name} <{mail}>"
+        return text, [(len(start), len(start) + len(name), 2), (len(text) - 1 - len(mail), len(text) - 1, 0)]
+
     def row(self) -> tuple[str, np.ndarray]:
         """A text and the label of each character."""
-        parts: list[tuple[str, tuple | None]] = []
+        parts: list[tuple[str, list]] = []
         for _ in range(self.r.integers(1, 5)):
             form = self.r.random()
             if form < 0.42:
-                parts.append((self.pick(self.background), None))
+                parts.append((self.shout(self.pick(self.background)), []))
             elif form < 0.6:
-                parts.append((self.decoy(), None))
+                parts.append((self.decoy(), []))
+            elif form < 0.66:
+                parts.append(self.header())
             else:
                 s, a, b, k = self.item()
-                parts.append((s, (a, b, k)))
+                parts.append((s, [(a, b, k)]))
         text, labels = "", []
-        for s, span in parts:
+        for s, items in parts:
             if text:
                 gap = self.pick([" "] * 8 + ["\n", "\n\n", "\r\n"])
                 text, labels = text + gap, labels + [0] * len(gap)
             own = [0] * len(s)
-            if span:
+            for span in items:
                 own[span[0]] = 2 * span[2] + 1
                 own[span[0] + 1 : span[1]] = [2 * span[2] + 2] * (span[1] - span[0] - 1)
             text, labels = text + s, labels + own
@@ -311,9 +328,9 @@ def start(seed: int, hidden: int) -> dict[str, np.ndarray]:
     return w
 
 
-def train(folder: str, out: str, seconds: float, hidden: int = 40, rows: int = 160, length: int = 176, seed: int = 11) -> None:
+def train(folder: str, out: str, seconds: float, hidden: int = 40, rows: int = 160, length: int = 176, seed: int = 11, begin: str | None = None) -> None:
     maker = Maker(seed, background(folder))
-    w = start(seed, hidden)
+    w = dict(np.load(begin)) if begin else start(seed, hidden)
     frozen = w["trans"] <= NEG / 2
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     began, step = time.time(), 0
@@ -356,4 +373,4 @@ def train(folder: str, out: str, seconds: float, hidden: int = 40, rows: int = 1
 
 
 if __name__ == "__main__":
-    train(sys.argv[1], sys.argv[2], float(sys.argv[3]) if len(sys.argv) > 3 else 900)
+    train(sys.argv[1], sys.argv[2], float(sys.argv[3]) if len(sys.argv) > 3 else 900, seed=int(sys.argv[4]) if len(sys.argv) > 4 else 11, begin=sys.argv[5] if len(sys.argv) > 5 else None)

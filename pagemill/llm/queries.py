@@ -11,7 +11,9 @@ from pagemill.llm.canonical import canonical_rows
 from pagemill.llm.garbled import garbled_words
 from pagemill.llm.leakage import leaked_items
 from pagemill.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
+from pagemill.llm.pii import item_types, personal_items
 from pagemill.llm.quality import text_types
+from pagemill.llm.scan_repair import damaged, repaired_paragraphs
 from pagemill.llm.split import split_oversized
 from pagemill.session import table
 
@@ -39,6 +41,14 @@ def p3_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return p3_pieces(spark, folder).groupBy("kind").agg(F.countDistinct("block_id").alias("n_blocks"), F.max(F.length("text")).alias("longest"), F.sum(F.when(F.col("piece_no") == F.col("n_pieces"), F.col("end_at"))).alias("n_chars"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return damaged(table(spark, folder, "words"), table(spark, folder, "blocks"))
+
+
+def p5_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return repaired_paragraphs(table(spark, folder, "words"), table(spark, folder, "blocks"))
+
+
 def _words_and_cells(spark: SparkSession, folder: str) -> DataFrame:
     words = table(spark, folder, "words").select(F.lit("words").alias("tab"), F.col("word_id").alias("rec_id"), "doc_id", "text")
     return words.unionByName(table(spark, folder, "cells").select(F.lit("cells").alias("tab"), F.col("cell_id").alias("rec_id"), "doc_id", "text"))
@@ -78,6 +88,14 @@ def _blocks_and_children(spark: SparkSession, folder: str) -> DataFrame:
     return blocks.unionByName(children)
 
 
+def p1_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_items(_blocks_and_children(spark, folder))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return item_types(p1_redacted(spark, folder))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return duplicate_pairs(*near_duplicates(_blocks_and_children(spark, folder), threshold=0.5, words=3))
 
