@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.canonical import canonical_rows
 from pagemill.llm.garbled import garbled_words
 from pagemill.llm.leakage import leaked_items
+from pagemill.llm.mixture import mixture
 from pagemill.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
 from pagemill.llm.pii import item_types, personal_items
 from pagemill.llm.quality import text_types
@@ -72,6 +73,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return p7_leaks(spark, folder).select("doc_id", "item_id")
 
 
+def p8_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
 def p9_types(spark: SparkSession, folder: str) -> DataFrame:
     return text_types(table(spark, folder, "documents"))
 
