@@ -60,16 +60,19 @@ def trimmed(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int
 #: Marks that stand for digits where they were misread.
 DIGIT = regex.compile(r"[\p{Nd}OoIl|SBZ]")
 AT = regex.compile(r"@|＠|\bat\b|\(at\)|\[at\]|\ba\b", regex.I)
-NAME = regex.compile(r"(?:\p{Lu}|[|1l0@(])[\p{L}\p{M}\p{Cf}'’.0-9|+@(-]*,?(?:[\s\u200b\u2060\ufeff]+|-\s*)[\p{L}|0-9@(]", regex.S)
+NAME = regex.compile(r"(?:\p{Lu}|[|1l0@(])[\p{L}\p{M}\p{Cf}'’.0-9|+@(-]*,?(?:[\s\u200b\u2060\ufeff]+|-\s*)[\p{Lu}|0-9@(]", regex.S)
+DATE = regex.compile(r"\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{4}")
 
 
 def possible(item: str, kind: str) -> bool:
-    """What any item of a kind has: an e-mail address an at sign or its word, a phone number seven digits, an identity number five, a postal address one, a name two words that begin with capitals."""
+    """What any item of a kind has: an e-mail address an at sign or its word, a phone number seven digits, an identity number five, neither a date alone, a postal address three words and a digit, a name two words that begin with capitals."""
     if kind == "email":
         return len(item) >= 6 and AT.search(item) is not None
     if kind == "name":
         return NAME.search(item) is not None
-    return len(DIGIT.findall(item)) >= {"phone": 7, "id_number": 5, "address": 1}[kind]
+    if kind == "address":
+        return regex.search(r"\p{Nd}", item) is not None and len(item.split()) >= 3
+    return len(DIGIT.findall(item)) >= {"phone": 7, "id_number": 5}[kind] and DATE.fullmatch(item) is None
 
 
 def redact(text: str, found: list[tuple[int, int, str]]) -> str:
