@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pagemill.session import cut, ship, spread
 
 #: Cells of the sketch of document frequencies; its size is fixed whatever the data.
-CELLS = 1 << 20
+CELLS = 1 << 17
 #: Entries of the table from which the samplers draw their random numbers.
 DRAWS = 1 << 16
 
@@ -87,10 +87,10 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5,
     members = cut(sets.select("tab", "id", "key", "shingles", F.min("id").over(_by("tab", "key", "shingles")).alias("class_id")))
     classes = members.where("id = class_id").select("tab", "class_id", "shingles", F.size(F.array_distinct("shingles")).alias("n"))
     # Document frequencies over all records, in a sketch of fixed size.
-    cells = members.select(F.explode(F.array_distinct(F.transform("shingles", lambda x: x.bitwiseAND(CELLS - 1)))).alias("cell")).groupBy("cell").agg(F.count("*").alias("df")).toPandas()
+    cells = members.select(F.explode(F.array_distinct(F.transform("shingles", lambda x: x.bitwiseAND(CELLS - 1)))).alias("cell")).groupBy("cell").agg(F.count("*").alias("df")).toArrow()
     total = members.count()
     df = np.ones(CELLS, np.float32)
-    df[cells.cell.to_numpy(np.int64)] = cells["df"].to_numpy(np.float32)
+    df[cells["cell"].to_numpy()] = cells["df"].to_numpy()
     log_idf = spark.sparkContext.broadcast(np.log(np.log1p(total / df)).astype(np.float32))
     count = rows * bands
 
