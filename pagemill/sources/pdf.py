@@ -1,0 +1,333 @@
+"""A reader of plain PDF files: unencrypted, simple fonts, Flate or raw streams.
+
+It gives words with boxes, image boxes, page sizes and attachments. Encrypted
+files and rasterising need an engine that is not part of Python; they give an
+error that says so.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+from pagemill.sources.budget import Budget, Child
+
+# Widths of Helvetica from space to tilde, in thousandths of the size (fixed values).
+HELVETICA = [int(x) for x in "278 278 355 556 556 889 667 191 333 333 389 584 278 333 278 278 556 556 556 556 556 556 556 556 556 556 278 278 584 584 584 556 1015 667 667 722 722 667 611 778 722 278 500 667 556 833 722 778 667 778 722 667 611 722 667 944 667 667 611 278 278 278 469 556 333 556 556 500 556 556 278 556 556 222 222 500 222 833 556 556 556 556 333 500 278 556 500 722 500 500 500 334 260 334 584".split()]
+FORM_DEPTH = 8
+TOKEN = re.compile(rb"\s*(?:%[^\r\n]*[\r\n]+\s*)*(<<|>>|\[|\]|\(|<[0-9A-Fa-f\s]*>|/[^\s<>\[\](){}/%]*|[+-]?(?:\d+\.?\d*|\.\d+)|[^\s<>\[\](){}/%]+)")
+
+
+class Name(str):
+    pass
+
+
+class Operator(bytes):
+    pass
+
+
+@dataclass(frozen=True)
+class Ref:
+    number: int
+
+
+@dataclass
+class Stream:
+    head: dict
+    raw: bytes
+
+    def data(self) -> bytes:
+        filters = self.head.get("Filter", [])
+        raw = self.raw
+        for f in filters if isinstance(filters, list) else [filters]:
+            if f != "FlateDecode":
+                raise ValueError(f"unsupported compression {f}")
+            raw = zlib.decompressobj().decompress(raw, 256 << 20)
+        return raw
+
+
+@dataclass
+class Page:
+    width: float
+    height: float
+    words: list[dict] = field(default_factory=list)
+    images: list[tuple[float, float, float, float]] = field(default_factory=list)
+
+
+def _string(data: bytes, at: int) -> tuple[bytes, int]:
+    out, depth = bytearray(), 1
+    escapes = {110: 10, 114: 13, 116: 9, 98: 8, 102: 12}
+    while at < len(data):
+        c = data[at]
+        at += 1
+        if c == 92 and at < len(data):
+            e = data[at]
+            at += 1
+            if 48 <= e <= 55:
+                m = re.match(rb"[0-7]{1,3}", data[at - 1 : at + 2])
+                out.append(int(m[0], 8) & 255)
+                at += len(m[0]) - 1
+            elif e not in (10, 13):
+                out.append(escapes.get(e, e))
+            continue
+        depth += (c == 40) - (c == 41)
+        if not depth:
+            break
+        out.append(c)
+    return bytes(out), at
+
+
+def parse(data: bytes, at: int = 0) -> Iterator[tuple[object, int]]:
+    """Objects and operators of a piece of PDF, with where each ends."""
+    stack: list[list] = []
+    kinds: list[bytes] = []
+    while m := TOKEN.match(data, at):
+        t, at = m[1], m.end()
+        if t in (b"<<", b"["):
+            stack.append([])
+            kinds.append(t)
+            continue
+        if t in (b">>", b"]"):
+            if not stack:
+                continue
+            items, kind = stack.pop(), kinds.pop()
+            value: object = dict(zip(items[::2], items[1::2], strict=False)) if kind == b"<<" else items
+        elif t == b"(":
+            value, at = _string(data, at)
+        elif t[:1] == b"<":
+            h = re.sub(rb"\s", b"", t[1:-1])
+            value = bytes.fromhex((h + b"0" * (len(h) % 2)).decode())
+        elif t[:1] == b"/":
+            value = Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), t[1:]).decode("latin-1"))
+        elif re.fullmatch(rb"[+-]?\d+", t):
+            value = int(t)
+        elif re.fullmatch(rb"[+-]?(?:\d+\.\d*|\.\d+)", t):
+            value = float(t)
+        elif t == b"R" and (box := stack[-1] if stack else None) is not None and len(box) >= 2 and isinstance(box[-2], int):
+            box[-2:] = [Ref(box[-2])]
+            continue
+        else:
+            value = {b"true": True, b"false": False, b"null": None}.get(t, Operator(t))
+        if stack:
+            stack[-1].append(value)
+        else:
+            yield value, at
+
+
+class File:
+    def __init__(self, data: bytes):
+        self.data, self.objects = data, {}
+        for m in re.finditer(rb"(?:^|[\r\n\s])(\d+)\s+\d+\s+obj\b", data):
+            self.objects[int(m[1])] = m.end()
+        self.cache: dict[int, object] = {}
+        self.trailer: dict = {}
+        for m in re.finditer(rb"trailer\s*(?=<<)", data):
+            self.trailer |= next((v for v, _ in parse(data, m.end()) if isinstance(v, dict)), {})
+        for n in list(self.objects):
+            v = self.get(Ref(n))
+            if isinstance(v, Stream) and v.head.get("Type") == "XRef":
+                self.trailer = v.head | self.trailer
+            if isinstance(v, Stream) and v.head.get("Type") == "ObjStm":
+                self._packed(v)
+        if "Encrypt" in self.trailer:
+            raise ValueError("document is encrypted")
+        self.root = self.get(self.trailer.get("Root")) or next((v for n in self.objects if isinstance(v := self.get(Ref(n)), dict) and v.get("Type") == "Catalog"), None)
+        if not isinstance(self.root, dict):
+            raise ValueError("not a PDF document")
+
+    def _packed(self, s: Stream) -> None:
+        data, n, first = s.data(), s.head.get("N", 0), s.head.get("First", 0)
+        numbers = [int(x) for x in data[:first].split()[: 2 * n]]
+        for number, at in zip(numbers[::2], numbers[1::2], strict=False):
+            self.cache.setdefault(number, next((v for v, _ in parse(data, first + at)), None))
+
+    def get(self, v: object) -> object:
+        for _ in range(32):
+            if not isinstance(v, Ref):
+                return v
+            if v.number not in self.cache:
+                self.cache[v.number] = self._read(v.number)
+            v = self.cache[v.number]
+        return None
+
+    def _read(self, number: int) -> object:
+        at = self.objects.get(number)
+        if at is None:
+            return None
+        value, end = next(parse(self.data, at), (None, at))
+        m = re.compile(rb"\s*stream\r?\n").match(self.data, end)
+        if isinstance(value, int) and self.data[end : end + 20].split()[1:2] == [b"R"]:
+            return Ref(value)
+        if not m or not isinstance(value, dict):
+            return value
+        length = self.get(value.get("Length"))
+        stop = m.end() + length if isinstance(length, int) else -1
+        if stop < 0 or b"endstream" not in self.data[stop : stop + 20]:
+            stop = self.data.find(b"endstream", m.end())
+        return Stream(value, self.data[m.end() : stop if stop >= 0 else len(self.data)])
+
+    def pages(self) -> list[dict]:
+        out: list[dict] = []
+        seen: set[int] = set()
+
+        def walk(v: object, above: dict) -> None:
+            if isinstance(v, Ref):
+                if v.number in seen:
+                    return
+                seen.add(v.number)
+            node = self.get(v)
+            if not isinstance(node, dict):
+                return
+            node = {k: above[k] for k in ("MediaBox", "Resources", "Rotate") if k in above} | node
+            if "Kids" in node:
+                for kid in self.get(node["Kids"]) or []:
+                    walk(kid, node)
+            else:
+                out.append(node)
+
+        walk(self.root.get("Pages"), {})
+        return out
+
+
+def _times(m: list[float], n: list[float]) -> list[float]:
+    a, b, c, d, e, f = m
+    g, h, i, j, k, o = n
+    return [a * g + b * i, a * h + b * j, c * g + d * i, c * h + d * j, e * g + f * i + k, e * h + f * j + o]
+
+
+class _Painter:
+    """Runs a content stream for where characters and images come to lie."""
+
+    def __init__(self, file: File):
+        self.file, self.chars, self.images = file, [], []
+
+    def run(self, data: bytes, resources: dict, ctm: list[float], depth: int = 0) -> None:
+        get, saved, args = self.file.get, [], []
+        size, leading, spacing, word_gap, scale, rise, font = 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, None
+        text = line = [1.0, 0, 0, 1.0, 0, 0]
+
+        def show(s: bytes) -> None:
+            nonlocal text
+            widths, first = font or (None, 32)
+            for c in s:
+                table = widths if widths else HELVETICA
+                k = c - first
+                w = table[k] / 1000 if 0 <= k < len(table) and isinstance(table[k], (int, float)) else 0.556
+                m = _times(text, ctm)
+                x = [m[0] * px + m[2] * py + m[4] for px, py in ((0, rise - 0.2 * size), (w * size * scale, rise + 0.8 * size))]
+                y = [m[1] * px + m[3] * py + m[5] for px, py in ((0, rise - 0.2 * size), (w * size * scale, rise + 0.8 * size))]
+                tall = size * (m[2] ** 2 + m[3] ** 2) ** 0.5
+                self.chars.append((bytes([c]).decode("cp1252", "replace"), min(x), min(y), max(x), max(y), tall))
+                text = _times([1, 0, 0, 1, (w * size + spacing + (word_gap if c == 32 else 0)) * scale, 0], text)
+
+        for v, _ in parse(data):
+            if not isinstance(v, Operator):
+                args.append(v)
+                continue
+            n = [x for x in args if isinstance(x, (int, float)) and not isinstance(x, bool)]
+            op = bytes(v)
+            if op == b"q":
+                saved.append(ctm)
+            elif op == b"Q" and saved:
+                ctm = saved.pop()
+            elif op == b"cm" and len(n) == 6:
+                ctm = _times(n, ctm)
+            elif op == b"BT":
+                text = line = [1.0, 0, 0, 1.0, 0, 0]
+            elif op == b"Tf" and n:
+                size = n[-1]
+                f = get((get(resources.get("Font")) or {}).get(args[0])) or {}
+                font = (get(f.get("Widths")), get(f.get("FirstChar")) or 0) if get(f.get("Widths")) else None
+            elif op == b"Tm" and len(n) == 6:
+                text = line = n
+            elif op in (b"Td", b"TD") and len(n) == 2:
+                leading = -n[1] if op == b"TD" else leading
+                text = line = _times([1, 0, 0, 1, *n], line)
+            elif op in (b"T*", b"'", b'"'):
+                text = line = _times([1, 0, 0, 1, 0, -leading], line)
+            elif op in (b"TL", b"Tc", b"Tw", b"Tz", b"Ts") and n:
+                leading, spacing, word_gap, scale, rise = (n[0] if op == b"TL" else leading, n[0] if op == b"Tc" else spacing, n[0] if op == b"Tw" else word_gap, n[0] / 100 if op == b"Tz" else scale, n[0] if op == b"Ts" else rise)
+            elif op == b"Do" and args:
+                x = get((get(resources.get("XObject")) or {}).get(args[0]))
+                if isinstance(x, Stream) and x.head.get("Subtype") == "Image":
+                    xs, ys = [ctm[4] + i * ctm[0] + j * ctm[2] for i in (0, 1) for j in (0, 1)], [ctm[5] + i * ctm[1] + j * ctm[3] for i in (0, 1) for j in (0, 1)]
+                    self.images.append((min(xs), min(ys), max(xs), max(ys)))
+                elif isinstance(x, Stream) and depth < FORM_DEPTH:
+                    self.run(x.data(), get(x.head.get("Resources")) or resources, _times(get(x.head.get("Matrix")) or [1, 0, 0, 1, 0, 0], ctm), depth + 1)
+            if op in (b"Tj", b"'", b'"') and args and isinstance(args[-1], bytes):
+                show(args[-1])
+            elif op == b"TJ" and args and isinstance(args[-1], list):
+                for item in args[-1]:
+                    if isinstance(item, bytes):
+                        show(item)
+                    elif isinstance(item, (int, float)):
+                        text = _times([1, 0, 0, 1, -item / 1000 * size * scale, 0], text)
+            args = []
+
+
+def words_of(chars: list[tuple]) -> list[dict]:
+    """Words of characters (text, x0, y0, x1, y1, size) in their order: white space, a new line or a wide gap ends one; its box is the union, its size its first character's."""
+    out: list[dict] = []
+    last = None
+    for c, x0, y0, x1, y1, size in chars:
+        if c.isspace():
+            last = None
+            continue
+        if last is not None and abs(last[2] - y0) < 0.5 * size and -0.3 * size < x0 - last[3] < 0.2 * size:
+            w = out[-1]
+            w |= {"text": w["text"] + c, "x0": min(w["x0"], x0), "y0": min(w["y0"], y0), "x1": max(w["x1"], x1), "y1": max(w["y1"], y1)}
+        else:
+            out.append({"text": c, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "font_size": size})
+        last = (c, x0, y0, x1)
+    return out
+
+
+def page(file: File, node: dict) -> Page:
+    box = [float(file.get(x)) for x in file.get(node.get("MediaBox")) or [0, 0, 612, 792]]
+    painter, contents = _Painter(file), file.get(node.get("Contents"))
+    parts = [file.get(c) for c in contents] if isinstance(contents, list) else [contents]
+    data = b"\n".join(p.data() for p in parts if isinstance(p, Stream))
+    painter.run(data, file.get(node.get("Resources")) or {}, [1.0, 0, 0, 1.0, -box[0], -box[1]])
+    return Page(box[2] - box[0], box[3] - box[1], words_of(painter.chars), painter.images)
+
+
+def text(data: bytes) -> str:
+    """Words by lines as they come, pages by form feed."""
+    file, out = File(data), []
+    for node in file.pages():
+        lines, last = [], None
+        for w in page(file, node).words:
+            if last is None or abs(w["y0"] - last) > 0.5 * w["font_size"]:
+                lines.append(w["text"])
+            else:
+                lines[-1] += " " + w["text"]
+            last = w["y0"]
+        out.append("\n".join(lines))
+    return "\f".join(out)
+
+
+def children(data: bytes, budget: Budget) -> Iterator[Child]:
+    """Files of the EmbeddedFiles name tree."""
+    file = File(data)
+    found: list[tuple[str, Stream]] = []
+
+    def walk(v: object, depth: int = 0) -> None:
+        node = file.get(v)
+        if not isinstance(node, dict) or depth > 32:
+            return
+        names = file.get(node.get("Names")) or []
+        for spec in names[1::2]:
+            s = file.get(spec)
+            if isinstance(s, dict) and isinstance(e := file.get(s.get("EF")), dict) and isinstance(stream := file.get(e.get("UF") or e.get("F")), Stream):
+                raw = file.get(s.get("UF") or s.get("F")) or b""
+                name = raw.decode("utf-16") if raw[:2] in (b"\xfe\xff", b"\xff\xfe") else raw.decode("latin-1")
+                found.append((name or f"attachment-{len(found) + 1}", stream))
+        for kid in file.get(node.get("Kids")) or []:
+            walk(kid, depth + 1)
+
+    names = file.get(file.root.get("Names"))
+    if isinstance(names, dict):
+        walk(names.get("EmbeddedFiles"))
+    yield from budget.admit((n, lambda limit, s=s: s.data()) for n, s in found)
