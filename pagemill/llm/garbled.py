@@ -205,6 +205,7 @@ def garbled_words(words: DataFrame, key: str = "word_id", established: int = 3,
     are at most ``broadcast_rows`` of them, else both sides are shuffled. Re-sent words count once; further columns are ignored.
     """
     ship(words.sparkSession)
+    words = words.select(key, "doc_id", "page", "text", "confidence")
     native = words.where("confidence = 0 and text is not null")
     odd = F.col("text").rlike(r"[^\x00-\x7F]|\(cid:\d+\)|[\x00-\x08\x0e-\x1f]")
     suspects = native.where(odd)
