@@ -1,14 +1,11 @@
-"""Command line: ``python -m pagemill {text,blocks,tree,route} FOLDER OUTPUT``, over all files below a folder."""
+"""Command line: ``python -m pagemill {text,tree,blocks,markdown,route,words} FOLDER OUTPUT``, over all files below a folder."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
-from pyspark.sql import functions as F
-
-from pagemill.functions.text import is_garbled
-from pagemill.operators import routing
+from pagemill.plans import documents
 from pagemill.plans.extract import Options, extract
 from pagemill.session import session
 from pagemill.sources.reader import binary_files, office_blocks, pdf_words
@@ -16,11 +13,14 @@ from pagemill.sources.reader import binary_files, office_blocks, pdf_words
 
 def main(argv: list[str]) -> int:
     p = argparse.ArgumentParser(prog="pagemill", description=__doc__)
-    p.add_argument("command", choices=["text", "blocks", "tree", "route"])
+    p.add_argument("command", choices=["text", "tree", "blocks", "markdown", "route", "words"])
     p.add_argument("folder")
-    p.add_argument("output", help="a folder of Parquet files")
+    p.add_argument("output", help="a folder of files")
+    p.add_argument("--format", default="parquet", choices=["parquet", "json"])
     p.add_argument("--pages", default="", help="such as 1-5,10")
     p.add_argument("--max-pages", type=int)
+    p.add_argument("--password", default="")
+    p.add_argument("--keep-headers-footers", action="store_true")
     p.add_argument("--depth", type=int, default=8)
     p.add_argument("--files", type=int, default=512)
     p.add_argument("--bytes", type=int, default=256 << 20)
@@ -28,17 +28,18 @@ def main(argv: list[str]) -> int:
     a = p.parse_args(argv)
     spark = session()
     files = binary_files(spark, a.folder, a.glob)
+    selected = {"pages": a.pages, "max_pages": a.max_pages, "password": a.password}
     if a.command in ("text", "tree"):
         out = extract(files, options=Options(a.depth, a.files, a.bytes, a.command == "text"))
     elif a.command == "blocks":
         out = office_blocks(files.where("file_format in ('zip', 'docx', 'xlsx', 'pptx')"))
+    elif a.command == "markdown":
+        out = documents.markdown(files.where("file_format = 'pdf'"), keep_headers_footers=a.keep_headers_footers, **selected)
+    elif a.command == "words":
+        out = pdf_words(files.where("file_format = 'pdf'"), **selected)
     else:
-        words = pdf_words(files.where("file_format = 'pdf'"), pages=a.pages, max_pages=a.max_pages)
-        seen = words.where("error is null")
-        page = seen.groupBy("path", "page").agg(F.max("width").alias("width"), F.max("height").alias("height"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), " ").alias("t"), F.coalesce(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))), F.lit(0.0)).alias("area"))
-        measured = page.select("path", "page", F.length("t").alias("n"), routing.clamp01(F.try_divide(F.col("area"), F.col("width") * F.col("height"))).alias("cover"), F.lit(0).alias("i"), F.lit(0.0).alias("ic"), F.lit(False).alias("f"), is_garbled("t").alias("g"))
-        out = measured.select("path", "page", F.col("n").alias("text_length"), F.col("cover").alias("text_coverage"), routing.ocr_reasons("n", "cover", "i", "ic", "f", "g").alias("reasons")).withColumn("needs_ocr", F.size("reasons") > 0)
-    out.write.mode("overwrite").parquet(a.output)
+        out = documents.inspect(files, **selected)
+    out.write.mode("overwrite").format(a.format).save(a.output)
     spark.stop()
     return 0
 

@@ -1,13 +1,15 @@
-"""A reader of plain PDF files: unencrypted, simple fonts, Flate or raw streams.
+"""A reader of plain PDF files: simple fonts, Flate or raw streams.
 
-It gives words with boxes, image boxes, page sizes and attachments. Encrypted
-files and rasterising need an engine that is not part of Python; they give an
-error that says so.
+It gives words with boxes, image boxes, page sizes and attachments. Files under
+the standard RC4 handler are read with their password; other encryption and
+rasterising need an engine that is not part of Python and give an error.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -116,27 +118,83 @@ def parse(data: bytes, at: int = 0) -> Iterator[tuple[object, int]]:
             yield value, at
 
 
+# What passwords are filled up with (fixed value).
+PADDING = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
+
+
+def rc4(key: bytes, data: bytes) -> bytes:
+    s, j, out = list(range(256)), 0, bytearray()
+    for i in range(256):
+        j = (j + s[i] + key[i % len(key)]) & 255
+        s[i], s[j] = s[j], s[i]
+    i = j = 0
+    for c in data:
+        i = (i + 1) & 255
+        j = (j + s[i]) & 255
+        s[i], s[j] = s[j], s[i]
+        out.append(c ^ s[(s[i] + s[j]) & 255])
+    return bytes(out)
+
+
 class File:
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, password: str = ""):
         self.data, self.objects = data, {}
+        self.key: bytes | None = None
+        self.plain: int | None = None
         for m in re.finditer(rb"(?:^|[\r\n\s])(\d+)\s+\d+\s+obj\b", data):
             self.objects[int(m[1])] = m.end()
         self.cache: dict[int, object] = {}
         self.trailer: dict = {}
         for m in re.finditer(rb"trailer\s*(?=<<)", data):
             self.trailer |= next((v for v, _ in parse(data, m.end()) if isinstance(v, dict)), {})
+        if "Encrypt" in self.trailer:
+            self._unlock(password)
         for n in list(self.objects):
             v = self.get(Ref(n))
             if isinstance(v, Stream) and v.head.get("Type") == "XRef":
                 self.trailer = v.head | self.trailer
             if isinstance(v, Stream) and v.head.get("Type") == "ObjStm":
                 self._packed(v)
-        if "Encrypt" in self.trailer:
+        if "Encrypt" in self.trailer and self.key is None:
             raise ValueError("document is encrypted")
         self.root = self.get(self.trailer.get("Root")) or next((v for n in self.objects if isinstance(v := self.get(Ref(n)), dict) and v.get("Type") == "Catalog"), None)
         if not isinstance(self.root, dict):
             raise ValueError("not a PDF document")
 
+    def _unlock(self, password: str) -> None:
+        """The file's key from the user's password, if it opens the file."""
+        ref = self.trailer["Encrypt"]
+        self.plain = ref.number if isinstance(ref, Ref) else None
+        e = self.get(ref)
+        if not isinstance(e, dict) or e.get("Filter") != "Standard" or e.get("V") not in (1, 2) or e.get("R") not in (2, 3):
+            raise ValueError("document is encrypted")
+        ids = self.get(self.trailer.get("ID")) or [b""]
+        n = (e.get("Length") or 40) // 8 if e["R"] == 3 else 5
+        key = hashlib.md5((password.encode("latin-1", "replace") + PADDING)[:32] + e["O"][:32] + struct.pack("<i", e["P"]) + ids[0]).digest()
+        for _ in range(50 if e["R"] == 3 else 0):
+            key = hashlib.md5(key[:n]).digest()
+        key = key[:n]
+        if e["R"] == 2:
+            fits = rc4(key, PADDING) == e["U"][:32]
+        else:
+            u = rc4(key, hashlib.md5(PADDING + ids[0]).digest())
+            for k in range(1, 20):
+                u = rc4(bytes(b ^ k for b in key), u)
+            fits = u[:16] == e["U"][:16]
+        if not fits:
+            raise ValueError("wrong password" if password else "document is encrypted")
+        self.key = key
+        self.cache.clear()
+
+    def _decrypted(self, v: object, key: bytes) -> object:
+        if isinstance(v, Stream):
+            return v if v.head.get("Type") == "XRef" else Stream({k: self._decrypted(x, key) for k, x in v.head.items()}, rc4(key, v.raw))
+        if isinstance(v, bytes) and not isinstance(v, Operator):
+            return rc4(key, v)
+        if isinstance(v, dict):
+            return {k: self._decrypted(x, key) for k, x in v.items()}
+        return [self._decrypted(x, key) for x in v] if isinstance(v, list) else v
+
     def _packed(self, s: Stream) -> None:
         data, n, first = s.data(), s.head.get("N", 0), s.head.get("First", 0)
         numbers = [int(x) for x in data[:first].split()[: 2 * n]]
@@ -148,7 +206,10 @@ class File:
             if not isinstance(v, Ref):
                 return v
             if v.number not in self.cache:
-                self.cache[v.number] = self._read(v.number)
+                found = self._read(v.number)
+                if self.key is not None and v.number != self.plain:
+                    found = self._decrypted(found, hashlib.md5(self.key + struct.pack("<I", v.number)[:3] + bytes(2)).digest()[: min(16, len(self.key) + 5)])
+                self.cache[v.number] = found
             v = self.cache[v.number]
         return None
 
@@ -293,9 +354,9 @@ def page(file: File, node: dict) -> Page:
     return Page(box[2] - box[0], box[3] - box[1], words_of(painter.chars), painter.images)
 
 
-def text(data: bytes) -> str:
+def text(data: bytes, password: str = "") -> str:
     """Words by lines as they come, pages by form feed."""
-    file, out = File(data), []
+    file, out = File(data, password), []
     for node in file.pages():
         lines, last = [], None
         for w in page(file, node).words:

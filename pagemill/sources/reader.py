@@ -40,7 +40,7 @@ def pages_selected(spec: str, count: int, most: int | None = None) -> list[int]:
     return out[:most] if most is not None and most > 0 else out
 
 
-def pdf_words(files: DataFrame, key: str = "path", content: str = "content", pages: str = "", max_pages: int | None = None) -> DataFrame:
+def pdf_words(files: DataFrame, key: str = "path", content: str = "content", pages: str = "", max_pages: int | None = None, password: str = "") -> DataFrame:
     """A row for each word of each selected page; a page without words has one row of null text; an unreadable file one row with its error."""
     ship(files.sparkSession)
     kind = dict(files.dtypes)[key]
@@ -54,7 +54,7 @@ def pdf_words(files: DataFrame, key: str = "path", content: str = "content", pag
                     raw = bytes(data)
                     if detect.sniff(raw) not in ("pdf", ""):
                         raise ValueError("not a PDF document")
-                    file = pdf.File(raw)
+                    file = pdf.File(raw, password)
                     nodes = file.pages()
                     for p in pages_selected(pages, len(nodes), max_pages):
                         got = pdf.page(file, nodes[p])
@@ -69,6 +69,32 @@ def pdf_words(files: DataFrame, key: str = "path", content: str = "content", pag
     return spread(rows, "key").mapInPandas(read, f"key {kind}, {WORD}").withColumnRenamed("key", key)
 
 
+PAGE = "page int, width double, height double, images array<struct<index:int,x0:double,y0:double,x1:double,y1:double>>, error string"
+
+
+def pdf_pages(files: DataFrame, key: str = "path", content: str = "content", pages: str = "", max_pages: int | None = None, password: str = "") -> DataFrame:
+    """A row for each selected page: its size and the boxes of its images, those within forms too; an unreadable file has one row with its error."""
+    ship(files.sparkSession)
+    kind = dict(files.dtypes)[key]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, data in zip(b["key"], b["content"], strict=True):
+                try:
+                    file = pdf.File(bytes(data), password)
+                    nodes = file.pages()
+                    out = []
+                    for p in pages_selected(pages, len(nodes), max_pages):
+                        got = pdf.page(file, nodes[p])
+                        out.append((k, p, got.width, got.height, [dict(zip(("index", "x0", "y0", "x1", "y1"), (i, *map(float, box)), strict=True)) for i, box in enumerate(got.images)], None))
+                except Exception as e:  # a broken file is a row with its error
+                    out = [(k, None, None, None, None, str(e) or type(e).__name__)]
+                yield pd.DataFrame(out, columns=["key", *(c.split()[0] for c in ("page", "width", "height", "images", "error"))]).astype({"page": "Int32"})
+
+    rows = files.where(f"{content} is not null").selectExpr(f"{key} as key", f"{content} as content")
+    return spread(rows, "key").mapInPandas(read, f"key {kind}, {PAGE}").withColumnRenamed("key", key)
+
+
 def office_blocks(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """Blocks of Word, Excel and PowerPoint packages; other or broken files give one row with an error."""
     ship(files.sparkSession)
