@@ -112,7 +112,8 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5,
             yield pd.DataFrame({"tab": b["tab"], "class_id": b["class_id"], "n": b["n"], "keys": keys})
 
     kind = dict(records.dtypes)
-    signed = spread(classes, "class_id").mapInPandas(sign, f"tab {kind['tab']}, class_id {kind['rec_id']}, n int, keys array<bigint>")
+    # Read back by both sides of the join, so that each class is signed once.
+    signed = cut(spread(classes, "class_id").mapInPandas(sign, f"tab {kind['tab']}, class_id {kind['rec_id']}, n int, keys array<bigint>"))
     banded = signed.select("tab", "class_id", "n", F.explode("keys").alias("band"))
     # Only buckets of several classes go on. Of two classes, one may be so much smaller that they cannot be alike.
     banded = banded.repartition("tab", "band")
