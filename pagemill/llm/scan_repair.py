@@ -67,11 +67,13 @@ def corrections(known: DataFrame, frequent: int = 5, ratio: int = 8) -> DataFram
     """(w, right): rare words of scanned pages and the frequent word that one or two confusions make of them.
 
     A frequent word occurs at least ``frequent`` times, ``ratio`` times as often as
-    the rare one and more often on native pages, where nothing is misread. Of several the one with the fewest
+    the rare one, and on native pages too, where nothing is misread (in a collection
+    without native pages, four times as often). Of several the one with the fewest
     confusions, then the commonest, then the first in order holds.
     """
-    texts = known.where(F.col("w").rlike(r"[\p{IsLatin}]") & (F.length("w") < 60))
-    often = texts.where((F.col("n") >= frequent) & F.col("w").rlike(r"^[\p{IsLatin}\p{M}'’-]+$") & ((F.col("native") > 0) | (F.col("n") >= 4 * frequent))).select(F.col("w").alias("right"), F.col("n").alias("right_n"), F.col("native").alias("right_native"), anagram(F.col("w")).alias("h"))
+    texts = known.where(F.col("w").rlike(r"[\p{IsLatin}@+|(]") & (F.length("w") < 60))
+    sure = F.col("n") >= 4 * frequent if known.where("native > 0").isEmpty() else F.col("native") > 0
+    often = texts.where((F.col("n") >= frequent) & F.col("w").rlike(r"^[\p{IsLatin}\p{M}'’-]+$") & sure).select(F.col("w").alias("right"), F.col("n").alias("right_n"), F.col("native").alias("right_native"), anagram(F.col("w")).alias("h"))
     step = "struct<d:bigint,cost:int>"
     fits = F.filter(
         F.array(*(F.when(F.instr("right", a) > 0, F.struct(F.lit(_value(b) - _value(a)).cast("bigint").alias("d"), F.lit(max(len(a), len(b))).alias("cost"))).cast(step) for a, b in CONFUSIONS)),
