@@ -173,12 +173,12 @@ def kernels(meant: str) -> list[str]:
 
 
 def doubts(text: str) -> list[tuple[str, str, str]]:
-    """(meaning, word to look up, the text's own word) of each reading."""
+    """(meaning, word to look up, the text's own word) of each reading that is not garbled itself."""
     own = text.strip(ASCII_MARKS).lower()
     out = []
     for meant in meanings(text):
         changed = {a for a, b in zip(text, meant, strict=True) if a != b}
-        if not changed <= LOOK_ALIKE and ONE_SCRIPT.fullmatch(meant):
+        if not changed <= LOOK_ALIKE and ONE_SCRIPT.fullmatch(meant) and not proven(meant)[0]:
             out += [(meant, k, own) for k in kernels(meant) if k != own]
     return out
 
