@@ -71,7 +71,7 @@ def _jaccard(a: Column | str, b: Column | str, n_a: Column | str, n_b: Column |
     return both / (F.col(n_a) + F.col(n_b) - both)
 
 
-def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5, least: int = 20, rows: int = 3, bands: int = 80) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5, least: int = 20, rows: int = 3, bands: int = 80, crowd: int = 5000) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the records (tab, rec_id, text).
 
     members has tab, rec_id and class_id, the least id among the records with
@@ -80,18 +80,24 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5,
     of classes that the bands bring together and that are at least ``threshold``
     alike. Records of fewer than ``least`` words, null ones and empty ones are in
     neither. Records are only compared within a tab.
+
+    Buckets that may hold more than ``crowd`` classes are not joined: the classes
+    in them meet by the rarest shingles of their sets instead, of which any two
+    sets alike enough share one, so no link is lost.
     """
     spark = records.sparkSession
     ship(spark)
-    sets = shingle_rows(records, words, least).withColumn("key", F.xxhash64("shingles"))
-    members = cut(sets.select("tab", "id", "key", "shingles", F.min("id").over(_by("tab", "key", "shingles")).alias("class_id")))
-    classes = members.where("id = class_id").select("tab", "class_id", "shingles", F.size(F.array_distinct("shingles")).alias("n"))
+    # Two 64-bit hashes stand for a set. Copies are collapsed by sums that combine before the shuffle.
+    sets = cut(shingle_rows(records, words, least).select("tab", "id", "shingles", F.xxhash64("shingles").alias("k1"), F.xxhash64(F.lit(1), F.reverse("shingles")).alias("k2")))
+    least_id = sets.groupBy("tab", "k1", "k2").agg(F.min("id").alias("class_id"))
+    members = sets.select("tab", "id", "k1", "k2").join(least_id, ["tab", "k1", "k2"]).select("tab", "id", "class_id")
+    classes = cut(sets.join(least_id.select("tab", F.col("class_id").alias("id")), ["tab", "id"], "left_semi").select("tab", F.col("id").alias("class_id"), "shingles", F.size(F.array_distinct("shingles")).alias("n")))
     # Document frequencies over all records, in a sketch of fixed size.
-    cells = members.select(F.explode(F.array_distinct(F.transform("shingles", lambda x: x.bitwiseAND(CELLS - 1)))).alias("cell")).groupBy("cell").agg(F.count("*").alias("df")).toArrow()
-    total = members.count()
+    cells = sets.select(F.explode(F.array_distinct(F.transform("shingles", lambda x: x.bitwiseAND(CELLS - 1)))).alias("cell")).groupBy("cell").agg(F.count("*").alias("df")).toArrow()
+    total = sets.count()
     df = np.ones(CELLS, np.float32)
     df[cells["cell"].to_numpy()] = cells["df"].to_numpy()
-    log_idf = spark.sparkContext.broadcast(np.log(np.log1p(total / df)).astype(np.float32))
+    log_idf = spark.sparkContext.broadcast(np.log(np.log1p(max(total, 1) / df)).astype(np.float32))
     count = rows * bands
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,11 +121,22 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5,
     # Read back by both sides of the join, so that each class is signed once.
     signed = cut(spread(classes, "class_id").mapInPandas(sign, f"tab {kind['tab']}, class_id {kind['rec_id']}, n int, keys array<bigint>"))
     banded = signed.select("tab", "class_id", "n", F.explode("keys").alias("band"))
-    # Only buckets of several classes go on. Of two classes, one may be so much smaller that they cannot be alike.
+    # A sketch of bucket sizes: no bucket is larger than its cell says.
+    load = banded.groupBy(F.col("band").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count("*").alias("load"))
+    full = cut(load.where(F.col("load") > max(crowd, 8 * bands * classes.count() // CELLS)))
+    crowded = None
+    if not full.isEmpty():
+        celled = banded.withColumn("cell", F.col("band").bitwiseAND(CELLS - 1))
+        crowded = celled.join(F.broadcast(full), "cell", "left_semi").select("tab", "class_id").distinct()  # full has CELLS rows at most
+        banded = celled.join(F.broadcast(full), "cell", "left_anti").drop("cell")
+    # Of two classes, one may be so much smaller that they cannot be alike.
     banded = banded.repartition("tab", "band")
     a, b = banded.select("tab", "band", F.col("class_id").alias("class_a"), F.col("n").alias("n_a")), banded.select("tab", "band", F.col("class_id").alias("class_b"), F.col("n").alias("n_b"))
     near = (F.col("class_a") < F.col("class_b")) & (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
-    pairs = a.join(b, ["tab", "band"]).where(near).select("tab", "class_a", "class_b").distinct()
+    pairs = a.join(b, ["tab", "band"]).where(near).select("tab", "class_a", "class_b")
+    if crowded is not None:
+        pairs = pairs.unionByName(_by_rare_shingles(classes.join(crowded, ["tab", "class_id"], "left_semi"), spark.createDataFrame(cells.to_pandas()) if cells.num_rows else None, threshold))
+    pairs = pairs.distinct()
     left = classes.select("tab", F.col("class_id").alias("class_a"), F.col("shingles").alias("s_a"), F.col("n").alias("n_a"))
     right = classes.select("tab", F.col("class_id").alias("class_b"), F.col("shingles").alias("s_b"), F.col("n").alias("n_b"))
     alike = pairs.join(left, ["tab", "class_a"]).join(right, ["tab", "class_b"]).withColumn("similarity", _jaccard("s_a", "s_b", "n_a", "n_b"))
@@ -127,10 +144,15 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5,
     return members.select("tab", F.col("id").alias("rec_id"), "class_id"), links
 
 
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*columns)
+def _by_rare_shingles(classes: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """(tab, class_a, class_b) of all pairs that can be alike: sets of n shingles that are share one of their n - ceil(threshold * n) + 1 rarest, in one order for all."""
+    each = classes.select("tab", "class_id", "n", F.explode(F.array_distinct("shingles")).alias("s")).withColumn("cell", F.col("s").bitwiseAND(CELLS - 1))
+    ordered = each.join(F.broadcast(cells), "cell").groupBy("tab", "class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))  # as large as one record
+    kept = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
+    rare = ordered.select("tab", "class_id", "n", F.explode(kept).alias("x")).select("tab", "class_id", "n", F.col("x.s").alias("s")).repartition("tab", "s")
+    a, b = rare.select("tab", "s", F.col("class_id").alias("class_a"), F.col("n").alias("n_a")), rare.select("tab", "s", F.col("class_id").alias("class_b"), F.col("n").alias("n_b"))
+    near = (F.col("class_a") < F.col("class_b")) & (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
+    return a.join(b, ["tab", "s"]).where(near).select("tab", "class_a", "class_b")
 
 
 def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -187,6 +187,8 @@ def test_near_duplicates_against_brute_force(spark):
     sets = {k: s for k, v in texts.items() if v and (s := _shingles(v, 3))}
     want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
     assert got == want and len(want) > 30
+    crowded = neardup.duplicate_pairs(*neardup.near_duplicates(df, threshold=0.5, words=3, crowd=1))
+    assert {(x.id_a, x.id_b) for x in crowded.collect()} == want
     groups = {x.rec_id: x.group_id for x in neardup.duplicate_groups(members, links).collect()}
     assert set(groups) == set(sets) and all(groups[a] == groups[b] for a, b in want)
     root = {k: k for k in sets}
