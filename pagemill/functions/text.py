@@ -93,3 +93,9 @@ def clamp_confidence(percent: Column | str) -> Column:
     """A recogniser's percentage as 0.01 to 1; 0 is kept for native text."""
     c = _c(percent) / 100
     return F.when(c <= 0, 0.01).when(c > 1, 1.0).otherwise(c)
+
+
+def transfer_decode(body: Column | str, encoding: Column | str) -> Column:
+    """A mail body by its transfer encoding; base64 without its white space, invalid base64 and other encodings as they are."""
+    packed = F.regexp_replace(body, r"\s", "")
+    return F.when(F.lower(F.trim(encoding)) == "base64", F.coalesce(F.try_to_binary(packed, F.lit("base64")).cast("string"), body)).otherwise(_c(body))

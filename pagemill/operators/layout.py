@@ -139,7 +139,7 @@ def find_gutter(lines: DataFrame) -> DataFrame:
     s = extent.select("doc_id", "page", "l", n.alias("n"), F.transform("ws", lambda w: F.struct(F.floor((w["x0"] - F.col("l")) / BUCKET).cast("int").alias("a"), F.floor((w["x1"] - F.col("l")) / BUCKET).cast("int").alias("b"))).alias("ink"))
     s = s.withColumn("inked", F.array_distinct(F.flatten(F.transform("ink", lambda i: F.sequence(i["a"], F.greatest(i["a"], i["b"]))))))
     first, last = F.floor(F.col("n") * 0.2).cast("int"), F.floor(F.col("n") * 0.8).cast("int")
-    blank = F.filter(F.sequence(first, F.greatest(first, last)), lambda b: ~F.array_contains("inked", b))
+    blank = F.array_except(F.sequence(first, F.greatest(first, last)), "inked")  # once a page, not once a bucket
     run = "struct<a:int,b:int>"
 
     def add(acc: Column, b: Column) -> Column:

@@ -40,6 +40,7 @@ def oracle_sql() -> dict[str, str]:
 # --- text -----------------------------------------------------------------
 
 LINES = "SELECT DISTINCT block_id, i AS line_no, string_split(text, chr(10))[i] AS line, string_split(text, chr(10))[i + 1] AS following FROM (SELECT DISTINCT block_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM blocks WHERE text IS NOT NULL)"
+DOC_LINES = "SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)"
 
 
 def _trimmed(x: str) -> str:
@@ -59,11 +60,12 @@ def furniture_key(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"WITH t AS (SELECT block_id, line_no, {_trimmed('line')} AS t FROM ({LINES})), m AS (SELECT *, regexp_extract(t, '^([-*•◦▪·–—]) ', 1) AS b, regexp_extract(t, '^([0-9]{{1,3}}[.)]|[A-Za-z][.)])', 1) AS e FROM t)"
-    f" SELECT block_id, line_no, CASE WHEN b <> '' THEN b ELSE e END AS marker, CASE WHEN b <> '' THEN {_trimmed('substr(t, 2)')} ELSE {_trimmed('substr(t, length(e) + 1)')} END AS rest, b = '' AS ordered FROM m WHERE b <> '' OR e <> ''"
+    f"WITH t AS (SELECT doc_id, line_no, {_trimmed('line')} AS t FROM ({DOC_LINES})), m AS (SELECT *, regexp_extract(t, '^([-*•◦▪·–—]) ', 1) AS b, regexp_extract(t, '^([0-9]{{1,3}}[.)]|[A-Za-z][.)])', 1) AS e FROM t)"
+    f" SELECT doc_id, line_no, CASE WHEN b <> '' THEN b ELSE e END AS marker, CASE WHEN b <> '' THEN {_trimmed('substr(t, 2)')} ELSE {_trimmed('substr(t, length(e) + 1)')} END AS rest, b = '' AS ordered FROM m WHERE b <> '' OR e <> ''"
 )
 def list_markers(spark: SparkSession, folder: str) -> DataFrame:
-    return _block_lines(spark, folder).select("block_id", "line_no", text.list_marker("line").alias("m")).where("m is not null").select("block_id", "line_no", "m.*")
+    lines = table(spark, folder, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
+    return lines.select("doc_id", "line_no", text.list_marker("line").alias("m")).where("m is not null").select("doc_id", "line_no", "m.*")
 
 
 @query(f"SELECT block_id, line_no, CASE WHEN line LIKE '%-' AND regexp_matches(following, '^[a-z\\x{{800}}-\\x{{10FFFF}}]') THEN substr(line, 1, length(line) - 1) || following ELSE line || ' ' || following END AS joined FROM ({LINES}) WHERE following IS NOT NULL")
@@ -211,13 +213,19 @@ def repeated_edge_lines(spark: SparkSession, folder: str) -> DataFrame:
     return layout.repeated_edge_lines(_lines(spark, folder), table(spark, folder, "page_complexity"))
 
 
+TWO = f"SELECT * REPLACE (x0 + CASE WHEN x0 > 300 THEN 110 ELSE 0 END AS x0, x1 + CASE WHEN x0 > 300 THEN 110 ELSE 0 END AS x1) FROM ({WORDS})"
+
+
 @query(
-    f"WITH e AS (SELECT doc_id, page, min(x0) AS l, max(x1) AS r FROM ({WORDS}) GROUP BY ALL), n AS (SELECT *, floor((r - l) / 4)::INT + 1 AS n FROM e), ink AS (SELECT DISTINCT doc_id, page, unnest(range(floor((x0 - l) / 4)::INT, floor((x1 - l) / 4)::INT + 1)) AS b FROM ({WORDS}) JOIN n USING (doc_id, page)),"
+    f"WITH e AS (SELECT doc_id, page, min(x0) AS l, max(x1) AS r FROM ({TWO}) GROUP BY ALL), n AS (SELECT *, floor((r - l) / 4)::INT + 1 AS n FROM e), ink AS (SELECT DISTINCT doc_id, page, unnest(range(floor((x0 - l) / 4)::INT, floor((x1 - l) / 4)::INT + 1)) AS b FROM ({TWO}) JOIN n USING (doc_id, page)),"
     " mid AS (SELECT doc_id, page, l, unnest(range(floor(0.2::DOUBLE * n)::INT, floor(0.8::DOUBLE * n)::INT + 1)) AS b FROM n), blank AS (SELECT * FROM mid ANTI JOIN ink USING (doc_id, page, b)), isl AS (SELECT *, b - row_number() OVER (PARTITION BY doc_id, page ORDER BY b) AS g FROM blank),"
     " runs AS (SELECT doc_id, page, l, min(b) AS a, count(*) AS c FROM isl GROUP BY doc_id, page, l, g) SELECT doc_id, page, l + a * 4 AS start, l + (a + c) * 4 AS stop FROM runs WHERE c * 4 >= 24 QUALIFY row_number() OVER (PARTITION BY doc_id, page ORDER BY c DESC, a) = 1"
 )
 def find_gutter(spark: SparkSession, folder: str) -> DataFrame:
-    return layout.find_gutter(_lines(spark, folder))
+    """The words right of 300 points moved 110 to the right, as a second column."""
+    right = F.when(F.col("x0") > 300, 110.0).otherwise(0.0)
+    words = table(spark, folder, "words").withColumns({"x0": F.col("x0") + right, "x1": F.col("x1") + right})
+    return layout.find_gutter(layout.group_lines(words))
 
 
 @query(f"WITH s AS (SELECT * FROM ({WORDS})) SELECT doc_id, page, seq, (SELECT i FROM (SELECT unnest(range(0, 5)) AS i) ORDER BY abs(72 + 110 * i - x0), i LIMIT 1)::INT AS anchor FROM s")
@@ -321,6 +329,54 @@ def polygon_bbox(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select("vec_id", routing.polygon_box(points).alias("b")).select("vec_id", "b.*")
 
 
+FIGURES = "SELECT DISTINCT block_id, doc_id, page, x0, y0, x1, y1 FROM blocks WHERE kind = 'figure' AND x0 IS NOT NULL"
+
+
+@query(f"SELECT block_id FROM ({FIGURES}) WHERE x1 - x0 >= 24 AND y1 - y0 >= 24 AND (x1 - x0) * (y1 - y0) >= 0.02::DOUBLE * 612 * 792")
+def ocr_figure_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    figures = table(spark, folder, "blocks").where("kind = 'figure' and x0 is not null").select("block_id", "doc_id", "page", "x0", "y0", "x1", "y1").distinct()
+    pages = figures.select("doc_id", "page").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0)})
+    return routing.figure_candidates(figures, pages).select("block_id")
+
+
+@query(f"SELECT doc_id, page, seq, text FROM ({WORDS}) WHERE confidence = 0 OR (doc_id, page) NOT IN (SELECT doc_id, page FROM ({WORDS}) WHERE confidence = 0)")
+def ocr_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """Native words; recognised ones on pages that have none."""
+    w = layout.distinct_words(table(spark, folder, "words"))
+    native = w.where("confidence = 0")
+    rest = w.where("confidence is null or confidence <> 0").join(native.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+    return native.unionByName(rest).select("doc_id", "page", "seq", "text")
+
+
+@query(f"SELECT doc_id, page, seq, CASE WHEN confidence * 120 <= 0 THEN 0.01 WHEN confidence * 120 / 100 > 1 THEN 1 ELSE confidence * 120 / 100 END::DOUBLE AS confidence FROM ({WORDS}) WHERE confidence IS NOT NULL")
+def clamp_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    w = layout.distinct_words(table(spark, folder, "words")).where("confidence is not null")
+    return w.select("doc_id", "page", "seq", text.clamp_confidence(F.col("confidence") * 120).alias("confidence"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN CASE WHEN p_size % 12 + 1 > 6 THEN 6 ELSE p_size % 12 + 1 END WHEN 1 THEN 1 END::INT AS level FROM part")
+def heading_style_level(spark: SparkSession, folder: str) -> DataFrame:
+    """Part sizes as paragraph styles: headings, titles and others."""
+    n = F.col("p_size")
+    style = F.when(n % 3 == 0, F.concat(F.lit("Heading "), (n % 12).cast("string"))).when(n % 3 == 1, "TITLE").otherwise("Body Text")
+    return table(spark, folder, "part").select("p_partkey", text.heading_style(style).alias("level"))
+
+
+@query(f"SELECT doc_id, regexp_extract(path, '([^/\\\\]*)$', 1) AS name FROM (SELECT * FROM files QUALIFY row_number() OVER (PARTITION BY doc_id) = 1) WHERE path IS NOT NULL")
+def child_basename(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "files").dropDuplicates(["doc_id"]).where("path is not null").select("doc_id", text.base_name("path").alias("name"))
+
+
+@query("SELECT DISTINCT doc_id, CASE doc_id % 3 WHEN 2 THEN to_base64(encode(text)) ELSE text END AS decoded FROM documents WHERE text IS NOT NULL")
+def transfer_decode(spark: SparkSession, folder: str) -> DataFrame:
+    """Bodies in base64, with line breaks; as they are; and in base64 of base64."""
+    rows = table(spark, folder, "documents").where("text is not null").select("doc_id", "text").distinct()
+    packed = F.base64(F.encode("text", "UTF-8"))
+    body = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace(packed, "(.{60})", "$1\r\n")).when(F.col("doc_id") % 3 == 1, F.col("text")).otherwise(F.base64(F.encode(F.regexp_replace(packed, "\\s", ""), "UTF-8")))
+    encoding = F.when(F.col("doc_id") % 3 == 1, "8bit").otherwise("Base64")
+    return rows.select("doc_id", text.transfer_decode(body, encoding).alias("decoded"))
+
+
 # --- tables and Markdown ----------------------------------------------------
 
 CELLS = "SELECT block_id, row_no, col_no, max(coalesce(text, '')) AS text FROM cells WHERE row_no IS NOT NULL AND col_no IS NOT NULL GROUP BY ALL"
