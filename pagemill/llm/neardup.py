@@ -1,9 +1,10 @@
 """Records that are edited copies of one another.
 
 Records become sets of word shingles; records with the same set form a class,
-so that exact copies cost one row. Improved consistent weighted sampling over
-TF-IDF weights signs each class, bands of the signature bring likely pairs
-together, and the shingle sets themselves decide.
+so that exact copies cost one row. Likely pairs come from an exact join by the
+rarest shingles of each set or, for high thresholds, from bands of a signature by
+improved consistent weighted sampling over IDF weights, with the exact join for
+what the bands do not reach. The shingle sets themselves decide.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.session import cut, ship, spread
@@ -21,6 +23,8 @@ from pagemill.session import cut, ship, spread
 CELLS = 1 << 17
 #: Entries of the table from which the samplers draw their random numbers.
 DRAWS = 1 << 16
+#: The probability with which the bands may miss a pair that is left to them.
+MISS = 1e-8
 
 
 class Sampler:
@@ -77,13 +81,15 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5,
     members has tab, rec_id and class_id, the least id among the records with
     the same shingle set. links has tab, class_a < class_b and similarity, the
     share of distinct shingles found in both among those found in either, of all pairs
-    of classes that the bands bring together and that are at least ``threshold``
-    alike. Records of fewer than ``least`` words, null ones and empty ones are in
-    neither. Records are only compared within a tab.
-
-    Buckets that may hold more than ``crowd`` classes are not joined: the classes
-    in them meet by the rarest shingles of their sets instead, of which any two
-    sets alike enough share one, so no link is lost.
+    of classes that are at least ``threshold`` alike. Records of fewer than ``least``
+    words, null ones and empty ones are in neither. Records are only compared within a tab.
+
+    A pair whose weighted similarity is below what ``bands`` of ``rows`` reach, the one
+    they miss with probability MISS, meets by the rarest shingles of both sets
+    instead, of which any two sets alike enough share one, so no link is lost. With a
+    threshold below that reach all pairs do, and nothing is signed. Above it, classes
+    do of which a weighted similarity below the reach is possible, and those in
+    buckets that may hold more than ``crowd`` classes, which are not joined.
     """
     spark = records.sparkSession
     ship(spark)
@@ -92,12 +98,26 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5,
     least_id = sets.groupBy("tab", "k1", "k2").agg(F.min("id").alias("class_id"))
     members = sets.select("tab", "id", "k1", "k2").join(least_id, ["tab", "k1", "k2"]).select("tab", "id", "class_id")
     classes = cut(sets.join(least_id.select("tab", F.col("class_id").alias("id")), ["tab", "id"], "left_semi").select("tab", F.col("id").alias("class_id"), "shingles", F.size(F.array_distinct("shingles")).alias("n")))
-    # Document frequencies over all records, in a sketch of fixed size.
-    cells = sets.select(F.explode(F.array_distinct(F.transform("shingles", lambda x: x.bitwiseAND(CELLS - 1)))).alias("cell")).groupBy("cell").agg(F.count("*").alias("df")).toArrow()
-    total = sets.count()
+    reach = (1 - MISS ** (1 / bands)) ** (1 / rows)
+    pairs = _by_rare_shingles(classes, threshold) if threshold < reach else _by_bands(classes, threshold, rows, bands, crowd, reach)
+    pairs = pairs.distinct()
+    left = classes.select("tab", F.col("class_id").alias("class_a"), F.col("shingles").alias("s_a"), F.col("n").alias("n_a"))
+    right = classes.select("tab", F.col("class_id").alias("class_b"), F.col("shingles").alias("s_b"), F.col("n").alias("n_b"))
+    alike = pairs.join(left, ["tab", "class_a"]).join(right, ["tab", "class_b"]).withColumn("similarity", _jaccard("s_a", "s_b", "n_a", "n_b"))
+    links = cut(alike.where(F.col("similarity") >= threshold).select("tab", "class_a", "class_b", "similarity"))
+    return members.select("tab", F.col("id").alias("rec_id"), "class_id"), links
+
+
+def _by_bands(classes: DataFrame, threshold: float, rows: int, bands: int, crowd: int, reach: float) -> DataFrame:
+    """(tab, class_a, class_b) of the pairs that share a band, and of all that can be alike where bands may miss one."""
+    spark = classes.sparkSession
+    # Document frequencies over the classes, in a sketch of fixed size: copies do not make a shingle common.
+    cells = classes.select(F.explode(F.array_distinct(F.transform("shingles", lambda x: x.bitwiseAND(CELLS - 1)))).alias("cell")).groupBy("cell").agg(F.count("*").alias("df")).toArrow()
+    total = classes.count()
     df = np.ones(CELLS, np.float32)
     df[cells["cell"].to_numpy()] = cells["df"].to_numpy()
     log_idf = spark.sparkContext.broadcast(np.log(np.log1p(max(total, 1) / df)).astype(np.float32))
+    heaviest = float(np.log1p(max(total, 1)))
     count = rows * bands
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,54 +125,75 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5,
         mix = np.random.default_rng(3).integers(1, 1 << 62, rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         number = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for b in batches:
-            keys = []
+            keys, least = [], []
             for s in b.shingles:
-                distinct, tf = np.unique(np.asarray(s, np.int64), return_counts=True)
-                best, level = sampler(distinct.view(np.uint64), idf[distinct & (CELLS - 1)] + np.log(tf).astype(np.float32))
+                distinct = np.unique(np.asarray(s, np.int64))
+                log_weight = idf[distinct & (CELLS - 1)]
+                best, level = sampler(distinct.view(np.uint64), log_weight)
+                least.append(least_weighted(np.exp(log_weight.astype(float)), heaviest, threshold))
                 h = distinct.view(np.uint64)[best] ^ (level.astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
                 h = (h * np.uint64(0xFF51AFD7ED558CCD)).reshape(bands, rows)
                 h ^= h >> np.uint64(29)
                 key = (h * mix).sum(1, dtype=np.uint64) + number
                 key ^= key >> np.uint64(32)
                 keys.append(key.view(np.int64))
-            yield pd.DataFrame({"tab": b["tab"], "class_id": b["class_id"], "n": b["n"], "keys": keys})
+            yield pd.DataFrame({"tab": b["tab"], "class_id": b["class_id"], "n": b["n"], "least": least, "keys": keys})
 
-    kind = dict(records.dtypes)
+    kind = dict(classes.dtypes)
     # Read back by both sides of the join, so that each class is signed once.
-    signed = cut(spread(classes, "class_id").mapInPandas(sign, f"tab {kind['tab']}, class_id {kind['rec_id']}, n int, keys array<bigint>"))
+    signed = cut(spread(classes, "class_id").mapInPandas(sign, f"tab {kind['tab']}, class_id {kind['class_id']}, n int, least double, keys array<bigint>"))
     banded = signed.select("tab", "class_id", "n", F.explode("keys").alias("band"))
     # A sketch of bucket sizes: no bucket is larger than its cell says.
     load = banded.groupBy(F.col("band").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count("*").alias("load"))
-    full = cut(load.where(F.col("load") > max(crowd, 8 * bands * classes.count() // CELLS)))
-    crowded = None
+    full = cut(load.where(F.col("load") > max(crowd, 8 * bands * total // CELLS)))
+    # Two classes meet in the bands unless both are among these.
+    beyond = signed.where(F.col("least") < reach).select("tab", "class_id")
     if not full.isEmpty():
         celled = banded.withColumn("cell", F.col("band").bitwiseAND(CELLS - 1))
-        crowded = celled.join(F.broadcast(full), "cell", "left_semi").select("tab", "class_id").distinct()  # full has CELLS rows at most
+        beyond = beyond.unionByName(celled.join(F.broadcast(full), "cell", "left_semi").select("tab", "class_id"))  # full has CELLS rows at most
         banded = celled.join(F.broadcast(full), "cell", "left_anti").drop("cell")
     # Of two classes, one may be so much smaller that they cannot be alike.
     banded = banded.repartition("tab", "band")
     a, b = banded.select("tab", "band", F.col("class_id").alias("class_a"), F.col("n").alias("n_a")), banded.select("tab", "band", F.col("class_id").alias("class_b"), F.col("n").alias("n_b"))
-    near = (F.col("class_a") < F.col("class_b")) & (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
-    pairs = a.join(b, ["tab", "band"]).where(near).select("tab", "class_a", "class_b")
-    if crowded is not None:
-        pairs = pairs.unionByName(_by_rare_shingles(classes.join(crowded, ["tab", "class_id"], "left_semi"), spark.createDataFrame(cells.to_pandas()) if cells.num_rows else None, threshold))
-    pairs = pairs.distinct()
-    left = classes.select("tab", F.col("class_id").alias("class_a"), F.col("shingles").alias("s_a"), F.col("n").alias("n_a"))
-    right = classes.select("tab", F.col("class_id").alias("class_b"), F.col("shingles").alias("s_b"), F.col("n").alias("n_b"))
-    alike = pairs.join(left, ["tab", "class_a"]).join(right, ["tab", "class_b"]).withColumn("similarity", _jaccard("s_a", "s_b", "n_a", "n_b"))
-    links = cut(alike.where(F.col("similarity") >= threshold).select("tab", "class_a", "class_b", "similarity"))
-    return members.select("tab", F.col("id").alias("rec_id"), "class_id"), links
+    pairs = a.join(b, ["tab", "band"]).where(_ordered(threshold)).select("tab", "class_a", "class_b")
+    return pairs.unionByName(_by_rare_shingles(classes.join(beyond.distinct(), ["tab", "class_id"], "left_semi"), threshold))
 
 
-def _by_rare_shingles(classes: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """(tab, class_a, class_b) of all pairs that can be alike: sets of n shingles that are share one of their n - ceil(threshold * n) + 1 rarest, in one order for all."""
-    each = classes.select("tab", "class_id", "n", F.explode(F.array_distinct("shingles")).alias("s")).withColumn("cell", F.col("s").bitwiseAND(CELLS - 1))
-    ordered = each.join(F.broadcast(cells), "cell").groupBy("tab", "class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))  # as large as one record
-    kept = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))
-    rare = ordered.select("tab", "class_id", "n", F.explode(kept).alias("x")).select("tab", "class_id", "n", F.col("x.s").alias("s")).repartition("tab", "s")
-    a, b = rare.select("tab", "s", F.col("class_id").alias("class_a"), F.col("n").alias("n_a")), rare.select("tab", "s", F.col("class_id").alias("class_b"), F.col("n").alias("n_b"))
-    near = (F.col("class_a") < F.col("class_b")) & (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a"))
-    return a.join(b, ["tab", "s"]).where(near).select("tab", "class_a", "class_b")
+def least_weighted(weights: np.ndarray, heaviest: float, threshold: float) -> float:
+    """The least weighted similarity that a set of such weights can have with any set that it is alike.
+
+    With ``o`` shingles in both there are at most ``o / threshold`` in either. The
+    least is where those in both are the lightest, and those of the other set alone
+    of the weight ``heaviest``.
+    """
+    n = len(weights)
+    o = np.arange(max(int(np.ceil(n * threshold - 1e-9)), 1), n + 1)
+    light = np.sort(weights).cumsum()
+    return float((light[o - 1] / (light[-1] + heaviest * np.maximum(np.floor(o / threshold + 1e-9) - n, 0))).min())
+
+
+def _ordered(threshold: float) -> Column:
+    """Each pair once, and none where one set is so much smaller that they cannot be alike."""
+    return (F.col("class_a") < F.col("class_b")) & (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
+
+
+def _by_rare_shingles(classes: DataFrame, threshold: float) -> DataFrame:
+    """(tab, class_a, class_b) of all pairs that can be alike.
+
+    In one order for all, rarest first, two sets that are alike share one of the
+    n - ceil(threshold * n) + 1 first shingles of each, and after the first that they
+    share enough others must be left in both. Shingles of one class alone are
+    left out of the join but keep their places, which are the first.
+    """
+    each = classes.select("tab", "class_id", "n", F.explode(F.array_distinct("shingles")).alias("s"))
+    shared = each.withColumn("df", F.count("*").over(W.partitionBy("tab", "s"))).where("df > 1")
+    ordered = shared.groupBy("tab", "class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))  # as large as one record
+    kept = F.slice("o", F.lit(1), F.greatest(F.size("o") - F.ceil(F.col("n") * threshold - 1e-9) + 1, F.lit(0)).cast("int"))
+    rare = ordered.select("tab", "class_id", "n", F.size("o").alias("shared"), F.posexplode(kept).alias("at", "x"))
+    rare = rare.select("tab", "class_id", "n", (F.col("shared") - F.col("at")).alias("left"), F.col("x.s").alias("s")).repartition("tab", "s")  # left: the shingle itself and those after it
+    a, b = (rare.select("tab", "s", F.col("class_id").alias(f"class_{x}"), F.col("n").alias(f"n_{x}"), F.col("left").alias(f"left_{x}")) for x in "ab")
+    enough = F.least("left_a", "left_b") * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9
+    return a.join(b, ["tab", "s"]).where(_ordered(threshold) & enough).select("tab", "class_a", "class_b")
 
 
 def duplicate_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

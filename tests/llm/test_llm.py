@@ -205,6 +205,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert empty.count() == none.count() == neardup.duplicate_groups(empty, none).count() == 0
 
 
+@pytest.mark.parametrize("threshold,edits", [(0.5, 3), (0.8, 1)])
+def test_near_duplicates_of_a_hot_group(spark, threshold, edits):
+    r = random.Random(11)
+    texts = {k: " ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for k in range(140)}
+    base = [f"base{k}" for k in range(60)]
+    for k in range(140, 210):
+        copy = list(base)
+        for i in r.sample(range(60), edits):
+            copy[i] = f"own{k}x{i}"
+        texts[k] = " ".join(copy)
+    df = spark.createDataFrame([("t", k, v) for k, v in texts.items()], "tab string, rec_id bigint, text string")
+    got = {(x.id_a, x.id_b) for x in neardup.duplicate_pairs(*neardup.near_duplicates(df, threshold=threshold, words=3)).collect()}
+    sets = {k: _shingles(v, 3) for k, v in texts.items()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+    assert got == want and len(want) > 100
+
+
 def test_sampler_estimates_weighted_jaccard():
     r = np.random.default_rng(1)
     ids, sampler = r.integers(0, 1 << 63, 60).astype(np.uint64), neardup.Sampler(4000)
