@@ -43,7 +43,7 @@ def personal_items(records: DataFrame, key: str = "rec_id") -> DataFrame:
 
 
 def trimmed(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans without white space at their ends; parts of one type with at most a character between them are joined; spans that cannot be an item of their type are dropped."""
+    """Spans without white space at their ends; parts of one type with at most a character between them are joined; names that end before or at a particle go on to the capital after it; spans that cannot be an item of their type are dropped."""
     out: list[tuple[int, int, str]] = []
     for s, e, t in found:
         while s < e and text[s].isspace():
@@ -54,18 +54,30 @@ def trimmed(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int
             out[-1] = (out[-1][0], e, t)
         elif e > s:
             out.append((s, e, t))
+    for i, (s, e, t) in enumerate(out):
+        if t == "name" and not possible(text[s:e], t) and (m := PARTED.match(text, s)) and m.end() > e and (i + 1 == len(out) or m.end() <= out[i + 1][0]):
+            out[i] = (s, m.end(), t)
     return [x for x in out if possible(text[x[0] : x[1]], x[2])]
 
 
 #: Marks that stand for digits where they were misread.
 DIGIT = regex.compile(r"[\p{Nd}OoIl|SBZ]")
 AT = regex.compile(r"@|＠|\bat\b|\(at\)|\[at\]|\ba\b", regex.I)
-NAME = regex.compile(r"(?:\p{Lu}|[|1l0@(])[\p{L}\p{M}\p{Cf}'’.0-9|+@(-]*,?(?:[\s\u200b\u2060\ufeff]+|-\s*)[\p{Lu}|0-9@(]", regex.S)
+#: Words in lower case that stand between the parts of a name.
+PARTICLES = r"(?:van|von|vom|zu|zur|zum|de|der|den|del|della|dello|di|da|do|dos|das|du|des|la|las|le|lo|los|ter|ten|te|op|af|av|bin|ibn|ben|al|el)"
+#: Two capitals; words without capitals throughout; letters of a script that has no capitals.
+NAME = regex.compile(
+    r"(?:\p{Lu}|[|1l0@(])[\p{L}\p{M}\p{Cf}'’.0-9|+@(-]*,?(?:[\s\u200b\u2060\ufeff]+|-\s*)(?:" + PARTICLES + r"\s+)*[\p{Lu}|0-9@(]"
+    r"|^\p{Ll}[\p{Ll}\p{M}'’-]+(?:\s+\p{Ll}[\p{Ll}\p{M}'’-]+){1,3}$"
+    r"|\p{Lo}\p{M}*[\s·・]*\p{Lo}",
+    regex.S,
+)
+PARTED = regex.compile(r"\p{Lu}[\p{L}\p{M}'’.-]*(?:\s+" + PARTICLES + r")+\s+\p{Lu}[\p{L}\p{M}'’-]*\p{L}")
 DATE = regex.compile(r"\d{4}-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./]\d{4}")
 
 
 def possible(item: str, kind: str) -> bool:
-    """What any item of a kind has: an e-mail address an at sign or its word, a phone number seven digits, an identity number five, neither a date alone, a postal address three words and a digit, a name two words that begin with capitals."""
+    """What any item of a kind has: an e-mail address an at sign or its word, a phone number seven digits, an identity number five, neither a date alone, a postal address three words and a digit, a name two words that begin with capitals, particles between them or not, two to four words without any, or two letters of a script without capitals."""
     if kind == "email":
         return len(item) >= 6 and AT.search(item) is not None
     if kind == "name":

@@ -68,6 +68,16 @@ def test_tagger(tagger, text, items):
     assert found(tagger, text) == items
 
 
+@pytest.mark.parametrize("name", ["Ludwig van Beethoven", "Maria de Souza", "Vincent van der Berg"])
+def test_names_with_particles(tagger, name):
+    assert found(tagger, f"The form was signed by {name}.") == {(name, "name")}
+
+
+@pytest.mark.parametrize("item,is_name", [("Ms. van Berg", True), ("anna grellingale", True), ("王小明", True), ("محمد علي", True), ("Viktor Osterorell", True), ("larger", False), ("Vincent", False), ("Ludwig van", False), ("the Office", False)])
+def test_shape_of_names(item, is_name):
+    assert pii.possible(item, "name") is is_name
+
+
 def test_long_text_is_read_whole(tagger):
     filler = "The upper ticket unpacked the inner timetable of the ledger. "
     text = filler * 3000 + "The form was signed by Viktor Osterorell. " + filler * 40
