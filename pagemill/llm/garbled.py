@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from pagemill.session import cut, ship
 
-# Encodings (fixed values): bytes of the first list read by the second.
-WIDE = ["utf-8"]
+# Encodings (fixed values): UTF-8 read by one byte or several, and pairs of one-byte encodings.
 NARROW = ["cp1252", "latin-1", "mac-roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866", "cp1250", "iso8859-2", "iso8859-15", "cp1253", "cp737"]
+MULTIBYTE = ["gbk", "cp932", "big5", "euc-kr"]
 SINGLE = [
     *((a, b) for a in ("mac-roman", "cp437", "cp850") for b in ("cp1252", "latin-1")),
     *((a, b) for a in ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic") for b in ("cp1252", "latin-1")),
@@ -31,6 +31,9 @@ SINGLE = [
 #: Characters that texts are made of besides ASCII: letters of European scripts and printers' marks.
 REPERTOIRE = [chr(c) for r in ((0xA0, 0x180), (0x384, 0x3D0), (0x401, 0x402), (0x404, 0x405), (0x406, 0x408), (0x410, 0x450), (0x451, 0x452), (0x454, 0x455), (0x456, 0x458), (0x490, 0x492)) for c in range(*r) if chr(c).isprintable() or c == 0xA0] + list("“”‘’‚„–—…•€™†‡‰‹›−№ﬁﬂ′″ŒœŠšŽžŸƒ")
 
+#: Characters of three or four bytes in UTF-8: Vietnamese letters, marks, currencies, arrows, mathematical and other signs, emoji.
+WIDER = [chr(c) for r in ((0x1E00, 0x1F00), (0x2010, 0x2060), (0x20A0, 0x20C1), (0x2100, 0x2150), (0x2190, 0x2400), (0x2500, 0x2800), (0x1F300, 0x1FB00)) for c in range(*r) if chr(c).isprintable()]
+
 
 def _read(text: str, wrote: str, read: str) -> str | None:
     """The text as it looks when bytes of one encoding are read as another; undefined bytes become C1 controls as browsers do."""
@@ -61,6 +64,13 @@ def sequences() -> dict[str, str]:
             twice = _read(once, "utf-8", read)
             if twice:
                 found.setdefault(twice, c)
+    for read in NARROW:
+        for c in WIDER:
+            once = _read(c, "utf-8", read)
+            twice = once and _read(once, "utf-8", read)
+            for seen in (once, twice):
+                if seen and not (seen.isalpha() and seen[1:].islower()):  # what may be letters of a word
+                    found.setdefault(seen, c)
     return found
 
 
@@ -123,8 +133,8 @@ def _font(text: str) -> str:
     return text
 
 
-def proven(text: str) -> tuple[bool, str]:
-    """Whether sequences prove the text garbled, and the text with just those spans replaced."""
+def proven(text: str) -> tuple[bool, str | None]:
+    """Whether sequences prove the text garbled, and the text with just those spans replaced, or None where it may mean several."""
     if CID.search(text) or LOST.search(text):
         return True, _font(text)
     state, hit, out = _state(), False, text
@@ -149,11 +159,38 @@ def proven(text: str) -> tuple[bool, str]:
                     meant = m[0].encode(read).decode("utf-8")
                 except UnicodeError:
                     continue
-                if len(meant) > 1 and all(c.isalnum() for c in meant) and not m[0].isalpha():
+                if all(c.isalnum() for c in meant) and not m[0].isalpha() and (len(meant) > 1 or len(m[0]) > 2 and not set(m[0][1:]) <= AFTER | set("»›«‹")):
                     return True, out.replace(m[0], meant)
+        several = multibyte(text)
+        if several:
+            return True, several[0] if len(several) == 1 else None
     return hit or bool(C1.search(out)), out
 
 
+ASIAN = regex.compile(r"[\p{Han}\p{Hangul}\p{Katakana}\p{Hiragana}]")
+BESIDE = regex.compile(r"[A-Za-z][\p{Han}\p{Hangul}\p{Katakana}\p{Hiragana}]|[\p{Han}\p{Hangul}\p{Katakana}\p{Hiragana}][A-Za-z]")
+EUROPEAN = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}\x20-\x7e\xa0-\xbf‐-⁞€™№]+")
+
+
+def multibyte(text: str) -> list[str]:
+    """The European texts whose UTF-8 bytes, read by an encoding of several bytes, or whose ASCII bytes, read in pairs, are this East Asian one; of two byte orders both.
+
+    East Asian text is only rarely valid when read back; beside Latin letters one
+    character meant is enough, else it takes three.
+    """
+    if not ASIAN.search(text):
+        return []
+    for read in MULTIBYTE:
+        try:
+            meant = text.encode(read).decode("utf-8")
+        except UnicodeError:
+            continue
+        if EUROPEAN.fullmatch(meant) and ONE_SCRIPT.fullmatch(meant) and (BESIDE.search(text) or sum(c.isalpha() for c in meant) >= 3):
+            return [meant]
+    raws = [text.encode(read, "surrogatepass") for read in ("utf-16-le", "utf-16-be")] if len(text) >= 3 else []
+    return [raw.decode("ascii") for raw in raws if regex.fullmatch(rb"[A-Za-z][a-z]+[.,;:!?]?", raw)]
+
+
 def meanings(text: str) -> list[str]:
     """What the text would mean if its bytes were read by each wrong one-byte encoding; all characters of the pair are turned, and something must change."""
     found = []

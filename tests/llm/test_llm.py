@@ -122,6 +122,25 @@ def test_sequences_round_trip(wrote, read, text):
         assert garbled.proven(seen) == (True, text)
 
 
+@pytest.mark.parametrize("text", ["→", "x≤y", "😀", "Việt", "一"])
+def test_one_character_outside_the_european_scripts(text):
+    assert garbled.proven(garbled._read(text, "utf-8", "cp1252")) == (True, text)
+
+
+@pytest.mark.parametrize("read", ["gbk", "cp932", "euc-kr"])
+def test_read_by_several_bytes(read):
+    assert garbled.proven("numéro".encode().decode(read)) == (True, "numéro")
+    assert garbled.proven("письмо".encode().decode("gbk")) == (True, "письмо")
+    assert garbled.proven("don’t".encode().decode("gbk")) == (True, "don’t")
+    assert garbled.proven(b"Letter".decode("utf-16-be")) == (True, "Letter")
+    assert garbled.proven(b"letter".decode("utf-16-be")) == (True, None)
+
+
+@pytest.mark.parametrize("text", ["A4纸", "小型", "中文文档", "パーティー", "ﾊﾟｰﾃｨｰ", "café»…", "→", "≤", "νέα", "한국어", "Việt"])
+def test_right_text_in_other_scripts(text):
+    assert garbled.proven(text)[0] is False
+
+
 def test_mixed_text_keeps_its_right_part():
     assert garbled.proven("déjà vu â€“ naÃ¯ve") == (True, "déjà vu – naïve")
     assert garbled.proven("CORAÇÃO")[0] is False and garbled.proven("plain")[0] is False
