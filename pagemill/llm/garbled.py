@@ -5,7 +5,8 @@ codecs. Sequences of several characters are proof by themselves and are matched
 by one automaton; a span is replaced only where it matches, so correct text
 around it stays. Single characters (one byte read as another) prove nothing
 alone: such a word counts only when its restored form is an established word of
-the collection and the word itself is not.
+the collection and the word itself is not, or when a sign stands between letters
+that never does, which proves the damage but not what was meant.
 """
 
 from __future__ import annotations
@@ -105,6 +106,8 @@ def _state() -> dict[str, object]:
 CID = regex.compile(r"(?:\(cid:\d+\))+")
 LOST = regex.compile("[\ufffd\ue000-\uf8ff\x00-\x08\x0e-\x1f]")
 C1 = regex.compile("[\x80-\x9f]")
+#: Signs that never stand between letters.
+SIGN = regex.compile(r"\p{L}[†‡‰‚„¢£¤¥¦¨¬±¶¸¿¡‹›˜ˆ]\p{Ll}")
 POSSESSIVE = regex.compile(r"['’]s[^\p{L}\p{N}]*$")
 EDGE = regex.compile(r"^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$", regex.S)
 #: Marks that printers set before and after a word, besides ASCII ones.
@@ -225,6 +228,8 @@ def examine(texts: pd.Series) -> pd.DataFrame:
     rows = []
     for t in texts:
         certain, restored = proven(t)
+        if not certain and SIGN.search(t):
+            certain, restored = True, None
         guesses = doubts(t)
         rows.append((certain, restored, guesses))
     return pd.DataFrame(rows, columns=["certain", "restored", "guesses"])
@@ -238,7 +243,8 @@ def garbled_words(words: DataFrame, key: str = "word_id", established: int = 3,
     sequence but ``(cid:n)``, so only other texts are examined, each distinct
     text once. A text under one-byte suspicion counts when its restored core
     occurs at least ``established`` times in the collection and more often than the
-    core as it stands. The words asked for go to all executors only while there
+    core as it stands, or, with restored null, when a sign that never stands between
+    letters does. The words asked for go to all executors only while there
     are at most ``broadcast_rows`` of them, else both sides are shuffled. Re-sent words count once; further columns are ignored.
     """
     ship(words.sparkSession)

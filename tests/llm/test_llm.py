@@ -158,6 +158,12 @@ def test_garbled_words(spark):
     assert garbled.garbled_words(spark.createDataFrame(rows, WORDS).limit(0)).count() == 0
 
 
+def test_signs_between_letters_are_damage(spark):
+    rows = word_rows(["adem‡s", "b‰timent", "opción", "opción", "opción", "opci¢n", "l’été", "5±2", "word…word", "note†", "£5", "¿qué?"])
+    got = {r.text: r.restored for r in garbled.garbled_words(spark.createDataFrame(rows, WORDS)).collect()}
+    assert got == {"adem‡s": None, "b‰timent": None, "opci¢n": "opción"}
+
+
 # --- 3: splitting -------------------------------------------------------------
 
 
