@@ -43,11 +43,11 @@ def p3_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return damaged(table(spark, folder, "words"), table(spark, folder, "blocks"))
+    return damaged(table(spark, folder, "words"), table(spark, folder, "blocks"), table(spark, folder, "page_complexity"))
 
 
 def p5_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return repaired_paragraphs(table(spark, folder, "words"), table(spark, folder, "blocks"))
+    return repaired_paragraphs(table(spark, folder, "words"), table(spark, folder, "blocks"), table(spark, folder, "page_complexity"))
 
 
 def _words_and_cells(spark: SparkSession, folder: str) -> DataFrame:

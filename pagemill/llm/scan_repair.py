@@ -98,13 +98,14 @@ INSIDE = r"\p{Ll}[@+|0-9(]\p{Ll}|^[\"'`(]?[+|]\p{Ll}{2,}"
 NOT_INSIDE = r"@[\w-]+[.(\[]|\(at\)|\(dot\)|@[0-9]x|^[0-9a-f]{8,}\W*$|\+scan|https?:|\(\)|\.(?:png|pdf|tiff?|jpe?g|docx?|eml|xlsx?|csv|txt)\b|[a-z][0-9]x\b"
 
 
-def scanned_words(words: DataFrame) -> DataFrame:
+def scanned_words(words: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """The words of pages with recognised text, once each, in lines: key columns, text, core, line, first, last (of the line), before and after (the texts next to it), running.
 
     A word of unknown confidence belongs to its page. Lines follow the boxes from
     top to bottom; a box without coordinates stands at the page's top. A line is
     running when it lies within 0.12 of the height at the page's top or bottom,
-    a line's height or more apart from the next line inwards.
+    a line's height or more apart from the next line inwards. The height is that of
+    sizes (doc_id, page, height), PAGE_HEIGHT where it has none above 0.
     """
     page = W.partitionBy("doc_id", "page")
     rows = words.where("confidence is null or isnan(confidence) or confidence > 0").where("text is not null").select("word_id", "doc_id", "page", "text", "x0", "y0", "y1", "confidence")
@@ -117,12 +118,16 @@ def scanned_words(words: DataFrame) -> DataFrame:
     across = page.orderBy("line", "x0", "word_id")
     of = page.orderBy("line").rangeBetween(-1, -1)
     under = page.orderBy("line").rangeBetween(1, 1)
-    tall = F.lit(PAGE_HEIGHT)
     rows = rows.select(
         "word_id", "doc_id", "page", "text", "line", "y0", "y1", "x0",
         F.lag("line").over(across).alias("p_line"), F.lead("line").over(across).alias("n_line"), F.lag("text").over(across).alias("before"), F.lead("text").over(across).alias("after"), F.lead("text", 2).over(across).alias("after2"),
         F.min("y0").over(of).alias("upper"), F.max("y1").over(under).alias("lower"),
     )
+    if sizes is None:
+        tall = F.lit(PAGE_HEIGHT)
+    else:
+        heights = sizes.where("height > 0 and not isnan(height)").groupBy("doc_id", "page").agg(F.max("height").alias("tall"))
+        rows, tall = rows.join(heights, ["doc_id", "page"], "left"), F.coalesce("tall", F.lit(PAGE_HEIGHT))
     top = (F.col("y0") >= tall * 0.88) & (F.col("lower").isNull() | (F.col("y0") - F.col("lower") >= height))
     bottom = (F.col("y1") <= tall * 0.12) & (F.col("upper").isNull() | (F.col("upper") - F.col("y1") >= height))
     return rows.select(
@@ -135,7 +140,7 @@ def scanned_words(words: DataFrame) -> DataFrame:
 PAGE_HEIGHT = 792.0
 
 
-def damaged_words(words: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+def damaged_words(words: DataFrame, broadcast_rows: int = 500_000, sizes: DataFrame | None = None) -> DataFrame:
     """scanned_words() with broken (null, 'head' or 'tail'), joined (head and tail as one word), right (the corrected text, or null), misread and running.
 
     The corrections are shipped to all executors only while there are at most
@@ -144,7 +149,7 @@ def damaged_words(words: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     known = cut(vocabulary(words))
     right = cut(corrections(known))
     on_native = known.where("native > 0").select("w", F.lit(True).alias("native"))
-    rows = scanned_words(words).withColumn("core", core("text"))
+    rows = scanned_words(words, sizes).withColumn("core", core("text"))
     small = right.count() <= broadcast_rows
     rows = rows.join(F.broadcast(right) if small else right, rows.core == right.w, "left").drop("w")
     hyphen = F.col("text").rlike(rf"[^\s{HYPHENS}][{HYPHENS}]$")
@@ -160,9 +165,9 @@ def damaged_words(words: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     )
 
 
-def damaged(words: DataFrame, blocks: DataFrame) -> DataFrame:
+def damaged(words: DataFrame, blocks: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """(tab, rec_id) of the words that are broken, misread or running, and of the blocks of the same pages whose text holds such a word, a broken line end or a running line."""
-    rows = cut(damaged_words(words).where("broken is not null or misread or running"))
+    rows = cut(damaged_words(words, sizes=sizes).where("broken is not null or misread or running"))
     hit = rows.select(F.lit("words").alias("tab"), F.col("word_id").alias("rec_id"))
     return hit.unionByName(damaged_blocks(rows, blocks, scanned_pages(words))).distinct()
 
@@ -184,14 +189,14 @@ def damaged_blocks(rows: DataFrame, blocks: DataFrame, pages: DataFrame) -> Data
     return text.where(hit).select(F.lit("blocks").alias("tab"), F.col("block_id").alias("rec_id"))
 
 
-def repaired_paragraphs(words: DataFrame, blocks: DataFrame) -> DataFrame:
+def repaired_paragraphs(words: DataFrame, blocks: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """(doc_id, page, block_no, kind, text) of the text blocks of scanned pages: running lines left out, line ends healed, misread words corrected.
 
     Where a word is broken the hyphen stays if the collection has the word with
     it more often than without. A block of running lines alone gives no row.
     Tables keep their lines.
     """
-    rows = cut(damaged_words(words).where("broken is not null or misread or running"))
+    rows = cut(damaged_words(words, sizes=sizes).where("broken is not null or misread or running"))
     known = vocabulary(words).select("w", "n")
     head = F.regexp_replace("text", f"[{HYPHENS}]$", "")
     pairs = rows.where("broken = 'head'").select("doc_id", "page", F.concat_ws(" ", "text", "tail").alias("k"), F.concat(head, "tail").alias("without"), F.concat(head, F.lit("-"), "tail").alias("with"))

@@ -290,6 +290,19 @@ def test_scan_repair(spark):
     assert scan_repair.damaged(words.limit(0), blocks).count() == 0
 
 
+def test_running_lines_follow_the_page_height(spark):
+    rows, k = [], 1
+    for doc, lines in ((1, ((580.0, "Header"), (400.0, "body"))), (2, ((900.0, "body"), (720.0, "inner"))), (3, ((750.0, "Header"), (400.0, "body")))):
+        for y, t in lines:
+            rows += word_rows([t], confidence=0.9, y=y, start=k, doc=doc)
+            k += 1
+    words = spark.createDataFrame(rows, WORDS)
+    blocks = spark.createDataFrame([(1, 1, 0, 0, "paragraph", "Header"), (2, 2, 0, 0, "paragraph", "inner")], "block_id bigint, doc_id bigint, page int, block_no int, kind string, text string")
+    sizes = spark.createDataFrame([(1, 0, 612.0), (1, 0, 612.0), (2, 0, 1224.0), (3, 0, None)], "doc_id bigint, page int, height double")
+    assert {(r.tab, r.rec_id) for r in scan_repair.damaged(words, blocks, sizes).collect()} == {("words", 1), ("words", 5), ("blocks", 1)}
+    assert {r.text for r in scan_repair.repaired_paragraphs(words, blocks, sizes).collect()} == {"inner"}
+
+
 # --- 6: one form ------------------------------------------------------------------
 
 
