@@ -20,12 +20,12 @@ def personal_items(records: DataFrame, key: str = "rec_id") -> DataFrame:
 
     items lists start, stop (code point offsets) and type, in order; redacted is
     the text with each item replaced by its type in brackets and all else
-    unchanged. Texts are read whole, whatever their length. Null and empty
-    texts, and texts without an item, give no row. A record that occurs again is
-    read again and gives its row again; further columns are ignored.
+    unchanged. Texts are read whole, whatever their length, and each distinct text once,
+    so records of equal text get equal rows. Null and empty texts, and texts
+    without an item, give no row. A record that occurs again gives its row
+    again; further columns are ignored.
     """
     ship(records.sparkSession)
-    kind = dict(records.dtypes)
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tagger = Tagger.load()
@@ -35,11 +35,15 @@ def personal_items(records: DataFrame, key: str = "rec_id") -> DataFrame:
             for i, (text, found) in enumerate(zip(texts, tagger.decode(texts), strict=True)):
                 found = trimmed(text, found)
                 if found:
-                    rows.append((b["tab"].iat[i], b[key].iat[i], text, redact(text, found), [{"start": s, "stop": e, "pii_type": t} for s, e, t in found]))
-            yield pd.DataFrame(rows, columns=["tab", key, "text", "redacted", "items"])
-
-    rows = records.where(f"{key} is not null and text is not null and text <> ''").select("tab", key, "text")
-    return spread(rows, key, least=4).mapInPandas(tag, f"tab {kind['tab']}, {key} {kind[key]}, text string, redacted string, items {SPAN}")
+                    rows.append((b.h1.iat[i], b.h2.iat[i], text, redact(text, found), [{"start": s, "stop": e, "pii_type": t} for s, e, t in found]))
+            yield pd.DataFrame(rows, columns=["h1", "h2", "text", "redacted", "items"])
+
+    # Two 64-bit hashes stand for a text in the join that gives the items back to the records, so that their texts stay where they are.
+    hashes = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.reverse("text")).alias("h2")]
+    rows = records.where(f"{key} is not null and text is not null and text <> ''")
+    texts = rows.select("text").distinct()  # copies are gone before the shuffle
+    tagged = spread(texts.select("text", *hashes), "text", least=4).mapInPandas(tag, f"h1 bigint, h2 bigint, text string, redacted string, items {SPAN}")
+    return rows.select("tab", key, *hashes).join(tagged, ["h1", "h2"]).select("tab", key, "text", "redacted", "items")
 
 
 def trimmed(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:

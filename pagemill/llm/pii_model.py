@@ -97,23 +97,32 @@ def lstm(table: np.ndarray, recurrent: np.ndarray, x: np.ndarray, keep: list | N
     return out
 
 
+def backward_order(lengths: np.ndarray, steps: int) -> np.ndarray:
+    """Places [T, B] that turn each column within its own length and leave the rest; doing it again turns it back."""
+    t = np.arange(steps)[:, None]
+    return np.where(t < lengths, lengths - 1 - t, t)
+
+
 class Tagger:
     """Finds typed spans. Windows, stride and batch are fixed parameters of the model, not limits on the text."""
 
     WINDOW, STRIDE, BATCH = 224, 176, 384
 
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = {k: v.astype(np.float32) for k, v in weights.items()}
+        self.how = str(weights.get("how", ""))  # how they were trained
+        self.w = {k: v.astype(np.float32) for k, v in weights.items() if k != "how"}
 
     @classmethod
     def load(cls) -> Tagger:
         raw = pkgutil.get_data(__package__, "pii_weights.npz")
         return cls(dict(np.load(io.BytesIO(raw))))
 
-    def emissions(self, x: np.ndarray) -> np.ndarray:
+    def emissions(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Scores [T, B, labels] of windows x [T, B]; each is read backward from its own end, so that what fills it up changes nothing."""
         w = self.w
+        turn, columns = backward_order(lengths, len(x)), np.arange(x.shape[1])
         forward = lstm(w["table_f"], w["rec_f"], x)
-        backward = lstm(w["table_b"], w["rec_b"], x[::-1])[::-1]
+        backward = lstm(w["table_b"], w["rec_b"], x[turn, columns])[turn, columns]
         h = w["rec_f"].shape[0]
         return forward @ w["out"][:h] + backward @ w["out"][h:] + w["bias"]
 
@@ -127,11 +136,12 @@ class Tagger:
         for first in range(0, len(places), self.BATCH):
             group = places[first : first + self.BATCH]
             longest = max(min(self.WINDOW, len(codes[i]) - at) for i, at in group)
-            x = np.zeros((longest, len(group)), np.uint8)
+            x, lengths = np.zeros((longest, len(group)), np.uint8), np.zeros(len(group), np.int64)
             for k, (i, at) in enumerate(group):
                 part = codes[i][at : at + self.WINDOW]
                 x[: len(part), k] = part
-            e = self.emissions(x)
+                lengths[k] = len(part)
+            e = self.emissions(x, lengths)
             for k, (i, at) in enumerate(group):
                 n = len(codes[i])
                 start = at + margin if at else 0

@@ -84,16 +84,92 @@ def test_long_text_is_read_whole(tagger):
     assert found(tagger, text) == {("Viktor Osterorell", "name")}
 
 
+SENTENCES = ["The upper ticket unpacked the inner timetable.", "We widened a monthly label because the crates joined the legible index."] * 10
+
+
 def test_held_out_accuracy(tagger):
+    """Names, streets, places and sentences that training never saw."""
+    from pagemill.llm.pii_train import held_out
+
+    for kind, (recall, precision, n) in held_out(tagger, SENTENCES, 700).items():
+        assert n > 50 and recall >= 0.9 and precision >= 0.7, (kind, recall, precision)
+
+
+def test_lists_and_sentences_are_held_out():
+    from pagemill.llm.pii_train import CARRIERS, GIVEN, Maker
+
+    seen, kept = Maker(1, SENTENCES), Maker(1, SENTENCES, held=True)
+    assert not set(seen.given) & set(kept.given) and set(seen.given) | set(kept.given) == set(GIVEN)
+    for kind in CARRIERS:
+        assert len(kept.carriers[kind]) > 3 and not set(seen.carriers[kind]) & set(kept.carriers[kind])
+
+
+# Sentences of everyday language, of none of the frames that training uses.
+ORDINARY = [
+    ("Please forward it to helpdesk@north-harbour.io by noon.", "email"),
+    ("My new mail is t.vandenberg77@posthuis.nl, use that.", "email"),
+    ("You can reach the clinic at (415) 882-3391.", "phone"),
+    ("Rappelez-moi au 06 12 34 56 78 ce soir.", "phone"),
+    ("She lives at 48 Primrose Crescent, Nottingham.", "address"),
+    ("Wir wohnen in der Lindenallee 12, 50667 Aachen.", "address"),
+    ("His passport number is LK4829103.", "id_number"),
+    ("SSN: 412-55-9087 was on the form.", "id_number"),
+    ("Could you ring Gwendolyn Hartley before the weekend?", "name"),
+    ("Our landlord is called Baptiste Charbonneau.", "name"),
+    ("I met Dr. Olumide Bankole at the station.", "name"),
+    ("The parcel was signed for by Kenta Matsuda.", "name"),
+    ("Please call Siobhan Murphy tomorrow", "name"),
+    ("My dentist, Rachel Feldman, retired in March.", "name"),
+    ("We sent the keys to Arvid Lundgren on Tuesday.", "name"),
+    ("Invoice prepared for Mrs. Dorothy Pemberton", "name"),
+    ("Thanks again to Ignacio Bermúdez for lunch.", "name"),
+    ("the plumber was Tom Whitaker I think", "name"),
+    ("Yours truly, Harriet Blythe", "name"),
+    ("Johann Sebastian Kessler wrote the manual.", "name"),
+    ("Teacher: Mr. Abernathy", "name"),
+    ("Is Priscilla Nwosu coming to the party?", "name"),
+    ("Nadine Lefort and Hugo Brandt resigned.", "name"),
+    ("Tell Marta Wójcik that the train is late.", "name"),
+    ("Contact Ms Chakraborty for the lease.", "name"),
+    ("He works for Antonio Marchetti in Rome.", "name"),
+    ("Signed, Eleanor Rigby", "name"),
+    ("The driver was Yusuf Karaca.", "name"),
+    ("The Great Barrier Reef is shrinking.", None),
+    ("We visited the Royal Albert Hall in London.", None),
+    ("Microsoft Office was installed on Monday.", None),
+    ("United Nations Security Council met.", None),
+    ("He bought a Ford Focus in Detroit.", None),
+    ("The Supreme Court ruled on Friday.", None),
+    ("Happy New Year to all of you!", None),
+    ("Order 4482-1190-33 shipped today.", None),
+    ("The meeting is on 12/05/2024 at 14:30.", None),
+    ("Mount Everest is 8849 metres high.", None),
+]
+
+
+def test_ordinary_sentences(tagger):
+    right = [kind in {t for _, t in found(tagger, text)} if kind else not found(tagger, text) for text, kind in ORDINARY]
+    assert all(right[:8])  # items with digits or an at sign
+    assert sum(right) >= 0.75 * len(right)
+
+
+def test_decoding_does_not_depend_on_the_batch(tagger):
     from pagemill.llm.pii_train import Maker
 
-    maker = Maker(987, ["The upper ticket unpacked the inner timetable.", "We widened a monthly label because the crates joined the legible index."])
-    hit = want = 0
-    for text, labels in (maker.row() for _ in range(250)):
-        real = set(pii_model.spans(labels))
-        hit += len(real & set(tagger.decode([text])[0]))
-        want += len(real)
-    assert hit >= 0.9 * want
+    maker = Maker(77, SENTENCES)
+    texts = [maker.row()[0] for _ in range(150)] + ["x", "Regards, Anna Bell"]
+    together = tagger.decode(texts)
+    assert together == tagger.decode(texts[::-1])[::-1]
+    assert together == [tagger.decode([t])[0] for t in texts]
+    alone, beside = tagger.scores(texts[:1])[0], tagger.scores([texts[0], "y" * 200])[0]
+    assert np.allclose(alone, beside, atol=1e-3)
+
+
+def test_equal_texts_give_equal_rows(spark):
+    text = "Please call Gwendolyn Hartley on (415) 882-3391."
+    rows = spark.createDataFrame([("a", k, text) for k in range(50)] + [("b", 7, text)], "tab string, rec_id bigint, text string")
+    got = pii.personal_items(rows).collect()
+    assert len(got) == 51 and len({r.redacted for r in got}) == 1
 
 
 def test_redaction_leaves_the_rest(spark):
