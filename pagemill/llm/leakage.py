@@ -1,12 +1,15 @@
 """Documents that contain passages of held-out test items.
 
-The test items form a BM25 inverted index. Every document is cut into short
-overlapping passages, each of which queries the index; items are kept in blocks
-with the highest impact of each term in the block, so that (block-max WAND)
-only blocks whose upper bound reaches the least threshold among their items
-are scored at all. An item's threshold is the least score that any ``run``
-consecutive words of it can have, so nothing that holds such a run is missed;
-a look at the words themselves then decides.
+The test items form a BM25 inverted index: a posting list for each word, cut
+into blocks of items with the highest impact in each block. Every document is cut
+into short overlapping passages, each of which queries the index by block-max
+WAND, for many passages at a time in arrays: the words of a passage in the order of their
+highest impacts have a pivot, before which they cannot reach the least
+threshold of any item by themselves; only the lists from the pivot on open blocks, a
+block is entered only where the block maxima of all words reach its least
+threshold, and only its items are scored. An item's threshold is the least score
+that any ``run`` consecutive words of it can have, so nothing that holds
+such a run is missed; a look at the words themselves then decides.
 """
 
 from __future__ import annotations
@@ -26,101 +29,180 @@ from pagemill.session import ship, spread
 WORD = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
 ANSWER = re.compile(r"^\W*(?:answer|antwort|réponse|respuesta|ответ|odpowiedź)\b\W*", re.I | re.M)
+#: The multiplier of the hash of a run (any odd number does: runs are compared word by word in the end).
+MIX = 0x9E3779B97F4A7C15
 
 
 def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def spans_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each span, one span after the other."""
+    if not len(starts):
+        return np.empty(0, np.int64)
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1]) - np.repeat(ends - lengths - starts, lengths)
+
+
+def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The values at wanted keys of a sorted array, 0 where there are none."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], np.float32(0))
+
+
 class Index:
-    """Inverted index of items with impacts, block maxima and thresholds."""
+    """Posting lists with block maxima, thresholds, and the runs of the items. Its size is proportional to the words of the items."""
 
     def __init__(self, items: list[tuple[int, str]], run: int, block: int = 16):
-        tokens = [(i, words(t)) for i, t in items]
+        tokens = [(i, words(t), t) for i, t in items]
+        df = Counter(w for _, ws, _ in tokens for w in set(ws))
+        n = len(items)
         # Items in the order of their rarest words lie with their like, which makes block bounds tight.
-        df = Counter(w for _, ws in tokens for w in set(ws))
-        tokens = sorted(((i, ws) for i, ws in tokens if len(ws) >= run), key=lambda x: sorted(set(x[1]), key=lambda w: (df[w], w))[:3])
-        self.run, self.block = run, block
-        self.ids = np.array([i for i, _ in tokens], np.int64)
+        tokens = sorted(((i, ws, t) for i, ws, t in tokens if len(ws) >= run), key=lambda x: (sorted(set(x[1]), key=lambda w: (df[w], w))[:3], x[0]))
+        self.run, self.block, self.n = run, block, len(tokens)
+        self.ids = np.array([i for i, _, _ in tokens], np.int64)
         self.vocabulary = {w: k for k, w in enumerate(df)}
-        n, mean = len(items), sum(len(ws) for _, ws in tokens) / max(1, len(tokens))
-        blocks = -(-len(tokens) // block)
-        #: One row more than there are words: the last is for words that no item has.
-        self.impact = np.zeros((len(df) + 1, blocks * block), np.float32)
-        least = np.full(blocks * block, np.inf, np.float32)
-        self.grams: dict[bytes, list[int]] = {}
-        self.answer: list[set[bytes]] = []
-        for k, (_, ws) in enumerate(tokens):
-            codes = np.array([self.vocabulary[w] for w in ws], np.int32)
-            norm = K1 * (1 - B + B * len(ws) / mean)
-            for w, tf in Counter(ws).items():
-                idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
-                self.impact[self.vocabulary[w], k] = idf * tf * (K1 + 1) / (tf + norm)
-            for at in range(len(ws) - run + 1):
-                least[k] = min(least[k], self.impact[np.unique(codes[at : at + run]), k].sum())
-                own = self.grams.setdefault(codes[at : at + run].tobytes(), [])
-                if k not in own:
-                    own.append(k)
+        self.offsets = np.cumsum([0] + [len(ws) for _, ws, _ in tokens])
+        self.flat = np.array([self.vocabulary[w] for _, ws, _ in tokens for w in ws], np.int32)
+        self.questions = np.array([len(words(t[: m.start()])) if (m := ANSWER.search(t)) else len(ws) for _, ws, t in tokens], np.int32)
+        if not self.n:
+            return
+        owner = np.repeat(np.arange(self.n), np.diff(self.offsets))
+        # Postings: word and item with the item's impact on the score.
+        self.posting, count = np.unique(self.flat.astype(np.int64) * self.n + owner, return_counts=True)
+        word, item = self.posting // self.n, self.posting % self.n
+        often = np.array(list(df.values()), float)[word]
+        length = np.diff(self.offsets)
+        norm = K1 * (1 - B + B * length / length.mean())
+        self.impact = (np.log(1 + (n - often + 0.5) / (often + 0.5)) * count * (K1 + 1) / (count + norm[item])).astype(np.float32)
+        # Blocks of each list with their highest impacts, where each list begins, and its highest impact.
+        self.blocks = -(-self.n // block)
+        self.block_posting, first = np.unique(word * self.blocks + item // block, return_index=True)
+        self.block_impact = np.maximum.reduceat(self.impact, first)
+        self.begin = np.searchsorted(self.block_posting, np.arange(len(df) + 1) * self.blocks)
+        self.highest = np.zeros(len(df) + 1, np.float32)  # the last is of words that no item has
+        np.maximum.at(self.highest, word, self.impact)
+        # Runs: where each begins, the least score of each item's, and their hashes.
+        begins = spans_of(self.offsets[:-1], np.maximum(length - run + 1, 0))
+        of = owner[begins]
+        least = np.full(self.n, np.inf, np.float32)
+        for part in np.array_split(np.arange(len(begins)), max(1, len(begins) // 100_000)):
+            codes = np.sort(self.flat[begins[part][:, None] + np.arange(run)], 1)
+            score = lookup(self.posting, self.impact, codes.astype(np.int64) * self.n + of[part][:, None])
+            score[:, 1:][codes[:, 1:] == codes[:, :-1]] = 0  # a word counts once
+            np.minimum.at(least, of[part], score.sum(1))
         self.threshold = least * np.float32(0.9999)  # for rounding
-        self.upper = self.impact.reshape(len(df) + 1, blocks, block).max(2)
-        self.bound = self.threshold.reshape(blocks, block).min(1)
-
-    def candidates(self, passages: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-        """(passage, items above their thresholds) of passages given as distinct word codes."""
-        lengths = np.array([len(p) for p in passages])
-        keep = np.nonzero(lengths)[0]
-        if not len(keep):
+        padded = np.append(self.threshold, np.full(self.blocks * block - self.n, np.inf, np.float32))
+        self.block_threshold = padded.reshape(-1, block).min(1)
+        self.least = float(self.threshold.min())
+        order = np.argsort(self.hashes(self.flat, begins), kind="stable")
+        self.runs, self.run_item = begins[order], of[order]
+        self.run_hash, self.first_run, self.n_same = np.unique(self.hashes(self.flat, self.runs), return_index=True, return_counts=True)
+
+    def hashes(self, codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        h = np.zeros(len(begins), np.uint64)
+        for k in range(self.run):
+            h = (h + codes[begins + k].astype(np.uint64) + np.uint64(1)) * np.uint64(MIX)
+            h ^= h >> np.uint64(29)
+        return h
+
+    def candidates(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, item) for all items whose threshold a passage reaches; passages are spans of word codes."""
+        none = np.empty(0, np.int64), np.empty(0, np.int64)
+        if not len(starts):
+            return none
+        # Passages that could not reach any item's threshold even if each word were at its highest.
+        total = np.add.reduceat(self.highest[flat[spans_of(starts, lengths)]], np.cumsum(lengths) - lengths)
+        live = np.nonzero(total >= self.least)[0]
+        if not len(live):
+            return none
+        passage, word = np.repeat(live, lengths[live]), flat[spans_of(starts[live], lengths[live])].astype(np.int64)
+        known = word < len(self.vocabulary)
+        pair = np.unique(passage[known] * len(self.vocabulary) + word[known])
+        passage, word = pair // len(self.vocabulary), pair % len(self.vocabulary)
+        # The pivot: from the lowest on, the words that together stay below the least threshold open no block.
+        order = np.lexsort((self.highest[word], passage))
+        passage, word = passage[order], word[order]
+        first = np.nonzero(np.append(True, passage[1:] != passage[:-1]))[0]
+        n_words = np.diff(np.append(first, len(passage)))
+        reach = np.cumsum(self.highest[word].astype(float))
+        before = np.repeat(reach[first] - self.highest[word[first]], n_words)
+        opens = np.nonzero(reach - before >= self.least)[0]
+        n_blocks = self.begin[word[opens] + 1] - self.begin[word[opens]]
+        blocks = self.block_posting[spans_of(self.begin[word[opens]], n_blocks)] % self.blocks
+        opened = np.unique(np.repeat(passage[opens], n_blocks) * self.blocks + blocks)
+        # Block maxima of all words of the passage.
+        at = np.full(len(starts), -1)
+        at[passage[first]] = np.arange(len(first))
+        row, bound = at[opened // self.blocks], opened % self.blocks
+        score = self._sums(word, first[row], n_words[row], bound, self.block_posting, self.block_impact, self.blocks)
+        enter = score >= self.block_threshold[bound]
+        row, bound = np.repeat(row[enter], self.block), np.repeat(bound[enter], self.block)
+        item = bound * self.block + np.tile(np.arange(self.block), int(enter.sum()))
+        row, item = row[item < self.n], item[item < self.n]
+        score = self._sums(word, first[row], n_words[row], item, self.posting, self.impact, self.n)
+        found = score >= self.threshold[item]
+        return passage[first[row[found]]], item[found]
+
+    @staticmethod
+    def _sums(word: np.ndarray, first: np.ndarray, n: np.ndarray, column: np.ndarray, keys: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+        """The sum over a passage's words of what the lists say of a block or an item."""
+        out = np.zeros(len(first), np.float32)
+        for part in np.array_split(np.arange(len(first)), max(1, int(n.sum()) // 2_000_000)):  # so many at a time
+            if len(part):
+                got = lookup(keys, values, word[spans_of(first[part], n[part])] * width + np.repeat(column[part], n[part]))
+                out[part] = np.add.reduceat(got, np.cumsum(n[part]) - n[part])
+        return out
+
+    def search(self, texts: list[str | None], length: int = 32) -> Iterator[tuple[int, dict[int, set[int]]]]:
+        """(text, {item: numbers of its runs found}) of every text with a run of an item."""
+        if not self.n:
             return
-        flat = np.concatenate([passages[k] for k in keep])
-        starts = np.concatenate(([0], np.cumsum(lengths[keep])[:-1]))
-        reached = np.add.reduceat(self.upper[flat], starts, axis=0) >= self.bound
-        for k, blocks in zip(keep, reached, strict=True):
-            hot = np.nonzero(blocks)[0]
-            if not len(hot):
-                continue
-            columns = (hot[:, None] * self.block + np.arange(self.block)).ravel()
-            scores = self.impact[passages[k][:, None], columns].sum(0)
-            found = columns[scores >= self.threshold[columns]]
-            if len(found):
-                yield int(k), found
-
-    def search(self, texts: list[str | None], length: int = 32) -> Iterator[tuple[int, dict[int, set[bytes]]]]:
-        """(text, {item: matching runs}) of every text with a run of an item."""
-        stride, other = length - self.run + 1, len(self.vocabulary)
-        owner, places, passages, codes_of = [], [], [], []
-        for t, text in enumerate(texts):
-            codes = np.array([self.vocabulary.get(w, other) for w in words(text)], np.int32)
-            codes_of.append(codes)
-            for at in range(0, max(1, len(codes) - self.run + 1), stride):
-                part = np.unique(codes[at : at + length])
-                part = part[part != other]
-                if len(codes) >= self.run:
-                    owner.append(t)
-                    places.append(at)
-                    passages.append(part)
-        hits: dict[int, dict[int, set[bytes]]] = {}
-        for first in range(0, len(passages), 4096):
-            for k, items in self.candidates(passages[first : first + 4096]):
-                k += first
-                codes, wanted = codes_of[owner[k]][places[k] : places[k] + length], set(items.tolist())
-                for at in range(len(codes) - self.run + 1):
-                    gram = codes[at : at + self.run].tobytes()
-                    for item in self.grams.get(gram, ()):
-                        if item in wanted:
-                            hits.setdefault(owner[k], {}).setdefault(item, set()).add(gram)
+        get, other = self.vocabulary.get, len(self.vocabulary)
+        codes = [np.array([get(w, other) for w in words(t)], np.int32) for t in texts]
+        sizes = np.array([len(c) for c in codes])
+        flat = np.concatenate([*codes, np.empty(0, np.int32)])
+        offsets = np.cumsum(sizes) - sizes
+        n_passages = np.where(sizes >= self.run, np.maximum(0, sizes - self.run) // (length - self.run + 1) + 1, 0)
+        owner = np.repeat(np.arange(len(texts)), n_passages)
+        inside = spans_of(np.zeros(len(texts), np.int64), n_passages) * (length - self.run + 1)
+        starts, lengths = offsets[owner] + inside, np.minimum(length, sizes[owner] - inside)
+        hits: dict[int, dict[int, set[int]]] = {}
+        for at in range(0, len(starts), 4096):
+            passages, items = self.candidates(flat, starts[at : at + 4096], lengths[at : at + 4096])
+            for k in np.unique(passages):
+                wanted = items[passages == k]
+                t, begins = int(owner[at + k]), starts[at + k] + np.arange(lengths[at + k] - self.run + 1)
+                h = self.hashes(flat, begins)
+                place = np.minimum(np.searchsorted(self.run_hash, h), len(self.run_hash) - 1)
+                for same, begin in zip(place[self.run_hash[place] == h], begins[self.run_hash[place] == h], strict=True):
+                    entry = np.arange(self.first_run[same], self.first_run[same] + self.n_same[same])
+                    entry = entry[np.isin(self.run_item[entry], wanted)]
+                    equal = (self.flat[self.runs[entry][:, None] + np.arange(self.run)] == flat[begin : begin + self.run]).all(1)
+                    for e in entry[equal]:
+                        hits.setdefault(t, {}).setdefault(int(self.run_item[e]), set()).add(int(self.runs[e]))
         yield from sorted(hits.items())
 
+    def report(self, item: int, found: set[int]) -> tuple[int, int, float, bool, bool]:
+        """n_runs, item_runs, share, in_question and in_answer of the runs found of an item; runs that recur in it count once."""
+        begin, end = self.offsets[item], self.offsets[item + 1]
+        distinct = lambda places: len({self.flat[p : p + self.run].tobytes() for p in places})
+        n, total, at = distinct(found), distinct(range(begin, end - self.run + 1)), [p - begin for p in found]
+        question, size = self.questions[item], end - begin
+        return n, total, n / total, bool(min(at) < question), bool(max(at) + self.run > question and question < size)
+
 
-def leaked_items(documents: DataFrame, items: DataFrame, run: int = 8, shard_words: int = 400_000) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, run: int = 8, shard_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id, n_runs, item_runs, share, in_question, in_answer) of each document and each item of which it has ``run`` consecutive words.
 
     n_runs counts the distinct runs found of the item_runs that the item has;
     in_question and in_answer tell whether runs lie before or in its part after
     "Answer:" (an item without one is all question). Items of fewer words than
     ``run``, and null or empty texts, match nothing. Ids that occur again with
-    the same text count once. Documents may be any number; the items are shipped
-    to the executors in shards of about ``shard_words`` words each, one pass over
-    the documents a shard, so what is shipped at a time is bounded.
+    the same text count once. Documents may be any number. Up to ``shard_words``
+    words of items are one index, built once and broadcast (about 60 bytes a word), in one
+    pass over the documents; beyond, there is an index and a pass for each so many.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -130,27 +212,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = 8, shard_wor
     found = []
     for shard in range(shards):
         part = shape if shards == 1 else shape.where(F.pmod(F.hash("item_id"), F.lit(shards)) == shard)
-        texts = [(r.item_id, r.text) for r in part.collect()]
-        held = spark.sparkContext.broadcast(texts)
+        held = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in part.collect()], run))
 
         def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = Index(held.value, run)
-            halves = {}
-            for i, text in held.value:
-                cut = ANSWER.search(text)
-                question = words(text[: cut.start()]) if cut else words(text)
-                halves[i] = len(question), len(words(text))
-            grams_at = {i: _positions(words(text), index, run) for i, text in held.value}
+            index = held.value
             for b in batches:
-                out = []
                 ids = b.doc_id.tolist()
-                for t, hits in index.search(b.text.tolist()):
-                    for k, grams in hits.items():
-                        item = int(index.ids[k])
-                        at = [p for g in grams for p in grams_at[item][g]]
-                        n_question, n_words = halves[item]
-                        total = len(grams_at[item])
-                        out.append((ids[t], item, len(grams), total, len(grams) / total, min(at) < n_question, max(at) + run > n_question and n_question < n_words))
+                out = [(ids[t], int(index.ids[k]), *index.report(k, runs)) for t, hits in index.search(b.text.tolist()) for k, runs in hits.items()]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_runs", "item_runs", "share", "in_question", "in_answer"])
 
         found.append(rows.mapInPandas(search, "doc_id bigint, item_id bigint, n_runs int, item_runs int, share double, in_question boolean, in_answer boolean"))
@@ -158,11 +226,3 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = 8, shard_wor
     for f in found[1:]:
         out = out.unionByName(f)
     return out.dropDuplicates(["doc_id", "item_id"])
-
-
-def _positions(ws: list[str], index: Index, run: int) -> dict[bytes, list[int]]:
-    codes = np.array([index.vocabulary[w] for w in ws], np.int32)
-    out: dict[bytes, list[int]] = {}
-    for at in range(len(ws) - run + 1):
-        out.setdefault(codes[at : at + run].tobytes(), []).append(at)
-    return out
