@@ -45,16 +45,46 @@ def spans_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1]) - np.repeat(ends - lengths - starts, lengths)
 
 
-def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The values at wanted keys of a sorted array, 0 where there are none."""
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], np.float32(0))
+class Table:
+    """Values of distinct keys of 0 or more, by open addressing in arrays at most half full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(len(keys)).bit_length() + 1)
+        size = 1 << self.bits
+        self.keys, self.values = np.full(size, -1, np.int64), np.zeros(size, np.float32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[slot] < 0
+            _, first = np.unique(np.where(free, slot, size + np.arange(len(slot))), return_index=True)
+            first = first[free[first]]
+            self.keys[slot[first]], self.values[slot[first]] = keys[left[first]], values[left[first]]
+            rest = np.delete(np.arange(len(left)), first)
+            left, slot = left[rest], (slot[rest] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(MIX)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """The values of the wanted keys, 0 where there are none."""
+        slot = self._slot(wanted)
+        there = self.keys[slot]
+        out = np.where(there == wanted, self.values[slot], np.float32(0))
+        left = np.nonzero((there != wanted) & (there >= 0))[0]
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (len(self.keys) - 1)
+            there = self.keys[slot]
+            hit = there == wanted[left]
+            out[left[hit]] = self.values[slot[hit]]
+            on = ~hit & (there >= 0)
+            left, slot = left[on], slot[on]
+        return out
 
 
 class Index:
     """Posting lists with block maxima, thresholds, and the runs of the items. Its size is proportional to the words of the items."""
 
-    def __init__(self, items: list[tuple[int, str]], run: int, block: int = 16):
+    def __init__(self, items: list[tuple[int, str]], run: int, block: int = 2):
         tokens = [(i, words(t), t) for i, t in items]
         df = Counter(w for _, ws, _ in tokens for w in set(ws))
         n = len(items)
@@ -70,32 +100,31 @@ class Index:
             return
         owner = np.repeat(np.arange(self.n), np.diff(self.offsets))
         # Postings: word and item with the item's impact on the score.
-        self.posting, count = np.unique(self.flat.astype(np.int64) * self.n + owner, return_counts=True)
-        word, item = self.posting // self.n, self.posting % self.n
+        posting, count = np.unique(self.flat.astype(np.int64) * self.n + owner, return_counts=True)
+        word, item = posting // self.n, posting % self.n
         often = np.array(list(df.values()), float)[word]
         length = np.diff(self.offsets)
         norm = K1 * (1 - B + B * length / length.mean())
-        self.impact = (np.log(1 + (n - often + 0.5) / (often + 0.5)) * count * (K1 + 1) / (count + norm[item])).astype(np.float32)
-        # Blocks of each list with their highest impacts, where each list begins, and its highest impact.
-        self.blocks = -(-self.n // block)
-        self.block_posting, first = np.unique(word * self.blocks + item // block, return_index=True)
-        self.block_impact = np.maximum.reduceat(self.impact, first)
-        self.begin = np.searchsorted(self.block_posting, np.arange(len(df) + 1) * self.blocks)
-        self.highest = np.zeros(len(df) + 1, np.float32)  # the last is of words that no item has
-        np.maximum.at(self.highest, word, self.impact)
-        # Runs: where each begins, the least score of each item's, and their hashes.
+        impact = (np.log(1 + (n - often + 0.5) / (often + 0.5)) * count * (K1 + 1) / (count + norm[item])).astype(np.float32)
+        # Runs: where each begins, and the least score of each item's, by which its impacts are divided, so that 1 is the threshold of all.
+        impacts = Table(posting, impact)
         begins = spans_of(self.offsets[:-1], np.maximum(length - run + 1, 0))
         of = owner[begins]
         least = np.full(self.n, np.inf, np.float32)
         for part in np.array_split(np.arange(len(begins)), max(1, len(begins) // 100_000)):
             codes = np.sort(self.flat[begins[part][:, None] + np.arange(run)], 1)
-            score = lookup(self.posting, self.impact, codes.astype(np.int64) * self.n + of[part][:, None])
+            score = impacts((codes.astype(np.int64) * self.n + of[part][:, None]).ravel()).reshape(codes.shape)
             score[:, 1:][codes[:, 1:] == codes[:, :-1]] = 0  # a word counts once
             np.minimum.at(least, of[part], score.sum(1))
-        self.threshold = least * np.float32(0.9999)  # for rounding
-        padded = np.append(self.threshold, np.full(self.blocks * block - self.n, np.inf, np.float32))
-        self.block_threshold = padded.reshape(-1, block).min(1)
-        self.least = float(self.threshold.min())
+        impact /= least[item] * np.float32(0.9999)  # for rounding
+        self.impacts = Table(posting, impact)
+        # Blocks of each list with their highest impacts, where each list begins, and its highest impact.
+        self.blocks = -(-self.n // block)
+        self.block_posting, first = np.unique(word * self.blocks + item // block, return_index=True)
+        self.block_impacts = Table(self.block_posting, np.maximum.reduceat(impact, first))
+        self.begin = np.searchsorted(self.block_posting, np.arange(len(df) + 1) * self.blocks)
+        self.highest = np.zeros(len(df) + 1, np.float32)  # the last is of words that no item has
+        np.maximum.at(self.highest, word, impact)
         order = np.argsort(self.hashes(self.flat, begins), kind="stable")
         self.runs, self.run_item = begins[order], of[order]
         self.run_hash, self.first_run, self.n_same = np.unique(self.hashes(self.flat, self.runs), return_index=True, return_counts=True)
@@ -114,7 +143,7 @@ class Index:
             return none
         # Passages that could not reach any item's threshold even if each word were at its highest.
         total = np.add.reduceat(self.highest[flat[spans_of(starts, lengths)]], np.cumsum(lengths) - lengths)
-        live = np.nonzero(total >= self.least)[0]
+        live = np.nonzero(total >= 1)[0]
         if not len(live):
             return none
         passage, word = np.repeat(live, lengths[live]), flat[spans_of(starts[live], lengths[live])].astype(np.int64)
@@ -128,7 +157,7 @@ class Index:
         n_words = np.diff(np.append(first, len(passage)))
         reach = np.cumsum(self.highest[word].astype(float))
         before = np.repeat(reach[first] - self.highest[word[first]], n_words)
-        opens = np.nonzero(reach - before >= self.least)[0]
+        opens = np.nonzero(reach - before >= 1)[0]
         n_blocks = self.begin[word[opens] + 1] - self.begin[word[opens]]
         blocks = self.block_posting[spans_of(self.begin[word[opens]], n_blocks)] % self.blocks
         opened = np.unique(np.repeat(passage[opens], n_blocks) * self.blocks + blocks)
@@ -136,22 +165,22 @@ class Index:
         at = np.full(len(starts), -1)
         at[passage[first]] = np.arange(len(first))
         row, bound = at[opened // self.blocks], opened % self.blocks
-        score = self._sums(word, first[row], n_words[row], bound, self.block_posting, self.block_impact, self.blocks)
-        enter = score >= self.block_threshold[bound]
+        score = self._sums(word, first[row], n_words[row], bound, self.block_impacts, self.blocks)
+        enter = score >= 1
         row, bound = np.repeat(row[enter], self.block), np.repeat(bound[enter], self.block)
         item = bound * self.block + np.tile(np.arange(self.block), int(enter.sum()))
         row, item = row[item < self.n], item[item < self.n]
-        score = self._sums(word, first[row], n_words[row], item, self.posting, self.impact, self.n)
-        found = score >= self.threshold[item]
+        score = self._sums(word, first[row], n_words[row], item, self.impacts, self.n)
+        found = score >= 1
         return passage[first[row[found]]], item[found]
 
     @staticmethod
-    def _sums(word: np.ndarray, first: np.ndarray, n: np.ndarray, column: np.ndarray, keys: np.ndarray, values: np.ndarray, width: int) -> np.ndarray:
+    def _sums(word: np.ndarray, first: np.ndarray, n: np.ndarray, column: np.ndarray, values: Table, width: int) -> np.ndarray:
         """The sum over a passage's words of what the lists say of a block or an item."""
         out = np.zeros(len(first), np.float32)
-        for part in np.array_split(np.arange(len(first)), max(1, int(n.sum()) // 2_000_000)):  # so many at a time
+        for part in np.array_split(np.arange(len(first)), max(1, int(n.sum()) // 200_000)):  # so many at a time
             if len(part):
-                got = lookup(keys, values, word[spans_of(first[part], n[part])] * width + np.repeat(column[part], n[part]))
+                got = values(word[spans_of(first[part], n[part])] * width + np.repeat(column[part], n[part]))
                 out[part] = np.add.reduceat(got, np.cumsum(n[part]) - n[part])
         return out
 
@@ -171,17 +200,20 @@ class Index:
         hits: dict[int, dict[int, set[int]]] = {}
         for at in range(0, len(starts), 4096):
             passages, items = self.candidates(flat, starts[at : at + 4096], lengths[at : at + 4096])
-            for k in np.unique(passages):
-                wanted = items[passages == k]
-                t, begins = int(owner[at + k]), starts[at + k] + np.arange(lengths[at + k] - self.run + 1)
-                h = self.hashes(flat, begins)
-                place = np.minimum(np.searchsorted(self.run_hash, h), len(self.run_hash) - 1)
-                for same, begin in zip(place[self.run_hash[place] == h], begins[self.run_hash[place] == h], strict=True):
-                    entry = np.arange(self.first_run[same], self.first_run[same] + self.n_same[same])
-                    entry = entry[np.isin(self.run_item[entry], wanted)]
-                    equal = (self.flat[self.runs[entry][:, None] + np.arange(self.run)] == flat[begin : begin + self.run]).all(1)
-                    for e in entry[equal]:
-                        hits.setdefault(t, {}).setdefault(int(self.run_item[e]), set()).add(int(self.runs[e]))
+            # The runs of the passages that retrieved an item, against those items alone.
+            some = np.unique(passages)
+            n_runs = lengths[at + some] - self.run + 1
+            passage, begins = np.repeat(some, n_runs), spans_of(starts[at + some], n_runs)
+            h = self.hashes(flat, begins)
+            place = np.minimum(np.searchsorted(self.run_hash, h), len(self.run_hash) - 1)
+            same = np.nonzero(self.run_hash[place] == h)[0]
+            n_same = self.n_same[place[same]]
+            entry, at_run = spans_of(self.first_run[place[same]], n_same), np.repeat(same, n_same)
+            retrieved = np.isin(passage[at_run] * self.n + self.run_item[entry], passages * self.n + items)
+            entry, at_run = entry[retrieved], at_run[retrieved]
+            equal = (self.flat[self.runs[entry][:, None] + np.arange(self.run)] == flat[begins[at_run][:, None] + np.arange(self.run)]).all(1)
+            for t, e in zip(owner[at + passage[at_run[equal]]].tolist(), entry[equal].tolist(), strict=True):
+                hits.setdefault(t, {}).setdefault(int(self.run_item[e]), set()).add(int(self.runs[e]))
         yield from sorted(hits.items())
 
     def report(self, item: int, found: set[int]) -> tuple[int, int, float, bool, bool]:
