@@ -126,8 +126,9 @@ class Index:
         self.highest = np.zeros(len(df) + 1, np.float32)  # the last is of words that no item has
         np.maximum.at(self.highest, word, impact)
         order = np.argsort(self.hashes(self.flat, begins), kind="stable")
-        self.runs, self.run_item = begins[order], of[order]
-        self.run_hash, self.first_run, self.n_same = np.unique(self.hashes(self.flat, self.runs), return_index=True, return_counts=True)
+        self.runs, self.run_item = begins[order].astype(np.int32), of[order].astype(np.int32)
+        self.run_hash, first, n_same = np.unique(self.hashes(self.flat, self.runs), return_index=True, return_counts=True)
+        self.first_run, self.n_same = first.astype(np.int32), n_same.astype(np.int32)
 
     def hashes(self, codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
         h = np.zeros(len(begins), np.uint64)
@@ -233,7 +234,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = 8, shard_wor
     "Answer:" (an item without one is all question). Items of fewer words than
     ``run``, and null or empty texts, match nothing. Ids that occur again with
     the same text count once. Documents may be any number. Up to ``shard_words``
-    words of items are one index, built once and broadcast (about 60 bytes a word), in one
+    words of items are one index, built once and broadcast (about 120 bytes a word), in one
     pass over the documents; beyond, there is an index and a pass for each so many.
     """
     spark = documents.sparkSession
