@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 # Extensions and their formats (fixed values).
 BY_NAME = {
-    "pdf": "pdf", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx", "odt": "odt", "ods": "ods", "odp": "odp", "rtf": "rtf", "doc": "doc", "xls": "xls", "ppt": "ppt", "msg": "msg",
+    "pdf": "pdf", "docx": "docx", "docm": "docx", "xlsx": "xlsx", "xlsm": "xlsx", "pptx": "pptx", "pptm": "pptx", "odt": "odt", "ods": "ods", "odp": "odp", "rtf": "rtf", "doc": "doc", "xls": "xls", "ppt": "ppt", "msg": "msg",
     "png": "png", "jpg": "jpeg", "jpeg": "jpeg", "gif": "gif", "tif": "tiff", "tiff": "tiff", "bmp": "bmp", "webp": "webp", "zip": "zip", "eml": "eml",
-    "txt": "txt", "text": "txt", "md": "txt", "csv": "txt", "tsv": "txt", "log": "txt", "json": "txt", "xml": "txt", "html": "txt",
+    "txt": "txt", "md": "txt", "csv": "txt", "tsv": "txt", "log": "txt", "json": "txt",
 }
 IMAGES = ["png", "jpeg", "gif", "tiff", "bmp", "webp"]
 OOXML = ["docx", "xlsx", "pptx"]
 OFFICE = [*OOXML, "odt", "ods", "odp", "rtf", "doc", "xls", "ppt"]
 #: Bytes that a file of a format begins with, in the order they are tried (hexadecimal).
-MAGIC = [("255044462D", "pdf"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpeg"), ("474946383761", "gif"), ("474946383961", "gif"), ("49492A00", "tiff"), ("4D4D002A", "tiff"), ("7B5C727466", "rtf"), ("D0CF11E0A1B11AE1", "ole"), ("504B0304", "zip"), ("504B0506", "zip")]
+MAGIC = [("255044462D", "pdf"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpeg"), ("474946383761", "gif"), ("474946383961", "gif"), ("49492A00", "tiff"), ("4D4D002A", "tiff"), ("7B5C727466", "rtf"), ("D0CF11E0A1B11AE1", "ole"), ("504B0304", "zip")]
 MAIL_HEADERS = ["From:", "To:", "Subject:", "Message-ID:", "Date:", "Received:"]
 
 
@@ -39,12 +39,10 @@ def looks_like_email(content: Column | str) -> Column:
 
 
 def looks_like_text(content: Column | str) -> Column:
-    """No NUL within the first 512 bytes and valid UTF-8, of which the last character may be cut off."""
+    """No NUL within the first 512 bytes and valid UTF-8 but for the last three bytes, where a character may be cut off."""
     head = F.substring(content, 1, 512)
-    h = F.hex(head)
-    whole = F.is_valid_utf8(head.cast("string"))
-    cut = F.exists(F.array(*(F.is_valid_utf8(F.substring(content, F.lit(1), F.length(head) - k).cast("string")) for k in (1, 2, 3))), lambda x: x) & (F.length(head) == 512)
-    return (F.length(head) > 0) & ~h.rlike("^(?:..)*00") & (whole | cut)
+    valid = F.exists(F.array(*(F.is_valid_utf8(F.substring(content, F.lit(1), F.greatest(F.length(head) - k, F.lit(0))).cast("string")) for k in range(4))), lambda x: x)
+    return (F.length(head) > 0) & ~F.hex(head).rlike("^(?:..)*00") & valid
 
 
 def _little(content: Column, at: int, n: int) -> Column:
@@ -54,7 +52,7 @@ def _little(content: Column, at: int, n: int) -> Column:
 
 def is_bmp(content: Column | str) -> Column:
     c = F.col(content) if isinstance(content, str) else content
-    return (F.length(c) >= 18) & (F.hex(F.substring(c, 1, 2)) == "424D") & (_little(c, 6, 4) == 0) & _little(c, 10, 4).between(26, 1 << 20) & _little(c, 14, 4).isin(12, 16, 40, 52, 56, 64, 108, 124)
+    return (F.length(c) >= 26) & (F.hex(F.substring(c, 1, 2)) == "424D") & (_little(c, 6, 4) == 0) & _little(c, 10, 4).between(26, 1 << 20) & _little(c, 14, 4).isin(12, 16, 40, 52, 56, 64, 108, 124)
 
 
 def sniff(content: Column | str) -> Column:
@@ -70,11 +68,12 @@ def sniff(content: Column | str) -> Column:
 
 
 def detect_format(content: Column | str, name: Column | str) -> Column:
-    """By content, refined by name: OLE files by an Office or mail name, text by a structured one; unknown bytes by name alone."""
+    """By content, refined by name: OLE files by an Office or mail name, text by any name of another format; unknown bytes by name alone."""
     by_bytes, by_name = sniff(content), format_by_name(name)
-    return F.when((by_bytes == "ole") & by_name.isin("doc", "xls", "ppt", "msg"), by_name).when((by_bytes == "txt") & by_name.isin("eml", "rtf"), by_name).when(by_bytes != "", by_bytes).otherwise(by_name)
+    return F.when((by_bytes == "ole") & by_name.isin("doc", "xls", "ppt", "msg"), by_name).when((by_bytes == "txt") & (by_name != ""), by_name).when(by_bytes != "", by_bytes).otherwise(by_name)
 
 
 def extension(kind: Column | str) -> Column:
+    """The usual suffix of a format, '' of an unknown one."""
     k = F.col(kind) if isinstance(kind, str) else kind
-    return F.when(k == "jpeg", ".jpg").when(k.isin("ole", ""), ".bin").otherwise(F.concat(F.lit("."), k))
+    return F.when(k == "", "").when(k == "jpeg", ".jpg").when(k == "ole", ".bin").otherwise(F.concat(F.lit("."), k))

@@ -27,13 +27,14 @@ def list_marker(text: Column | str) -> Column:
     """struct(marker, rest, ordered) of a list entry, else null.
 
     A bullet needs a space after it; an enumeration is an ASCII letter or a
-    number of up to three digits, followed by a full stop or bracket, and needs none.
+    number of up to three digits, followed by a full stop or bracket, and needs none, but text after it.
     """
     t = trim_space(text)
     bullet = F.regexp_extract(t, f"^([{BULLETS}]) (?s:(.*))$", 1)
     number = F.regexp_extract(t, r"^([0-9]{1,3}[.)]|[A-Za-z][.)])(?s:(.*))$", 1)
+    after = F.regexp_extract(t, r"^(?:[0-9]{1,3}[.)]|[A-Za-z][.)])(?s:(.*))$", 1)
     made = lambda marker, rest, ordered: F.struct(marker.alias("marker"), trim_space(rest).alias("rest"), F.lit(ordered).alias("ordered"))
-    return F.when(bullet != "", made(bullet, F.regexp_extract(t, f"^[{BULLETS}] (?s:(.*))$", 1), False)).when(number != "", made(number, F.regexp_extract(t, r"^(?:[0-9]{1,3}[.)]|[A-Za-z][.)])(?s:(.*))$", 1), True))
+    return F.when(bullet != "", made(bullet, F.regexp_extract(t, f"^[{BULLETS}] (?s:(.*))$", 1), False)).when((number != "") & (trim_space(after) != ""), made(number, after, True))
 
 
 def heading_level(n_words: Column | str, text: Column | str, size: Column | str, body: Column | str) -> Column:
@@ -46,7 +47,7 @@ def heading_level(n_words: Column | str, text: Column | str, size: Column | str,
 def join_wrapped(text: Column | str, following: Column | str) -> Column:
     """Two lines as running text: a hyphen at the end is healed when the next line's first byte is a lower-case letter, as a byte (a-z, or the lead of a three or four-byte character)."""
     heals = F.endswith(_c(text), F.lit("-")) & _c(following).rlike(r"^[a-z\x{800}-\x{10FFFF}]")
-    return F.when(heals, F.concat(F.expr("1") if False else F.substring(text, F.lit(1), F.length(text) - 1), following)).otherwise(F.concat(text, F.lit(" "), following))
+    return F.when(heals, F.concat(F.substring(text, F.lit(1), F.length(text) - 1), following)).otherwise(F.concat(text, F.lit(" "), following))
 
 
 def is_garbled(text: Column | str) -> Column:
@@ -96,6 +97,11 @@ def clamp_confidence(percent: Column | str) -> Column:
 
 
 def transfer_decode(body: Column | str, encoding: Column | str) -> Column:
-    """A mail body by its transfer encoding; base64 without its white space, invalid base64 and other encodings as they are."""
-    packed = F.regexp_replace(body, r"\s", "")
-    return F.when(F.lower(F.trim(encoding)) == "base64", F.coalesce(F.try_to_binary(packed, F.lit("base64")).cast("string"), body)).otherwise(_c(body))
+    """A mail body by its transfer encoding: base64 without its white space, quoted-printable with soft line breaks joined and blanks at line ends cut; invalid bodies and other encodings as they are."""
+    kind = F.lower(trim_space(encoding))
+    packed = F.regexp_replace(body, r"[ \t\r\n]", "")
+    lines = F.regexp_replace(F.regexp_replace(body, r"[ \t]+(?=\r?\n|$)", ""), r"=(?:\r?\n|$)", "")
+    # Escapes become those of URLs, which the engine decodes as bytes of UTF-8.
+    escaped = F.regexp_replace(F.replace(F.replace(lines, F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B")), "=([0-9A-Fa-f]{2})", "%$1")
+    printable = F.when(~F.contains(escaped, F.lit("=")), F.try_url_decode(escaped))
+    return F.when(kind == "base64", F.coalesce(F.try_to_binary(packed, F.lit("base64")).cast("string"), body)).when(kind == "quoted-printable", F.coalesce(printable, body)).otherwise(_c(body))

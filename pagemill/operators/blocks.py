@@ -18,7 +18,7 @@ from pagemill.functions.text import escape_cell, furniture_key, trim_space
 from pagemill.operators import layout, pages
 from pagemill.session import ship
 
-BLOCK = "doc_id bigint, page int, block_no int, kind string, text string, level int, ordered boolean, marker string, rows array<array<string>>, header array<string>, figure_id string, x0 double, y0 double, x1 double, y1 double"
+BLOCK = "page int, block_no int, kind string, text string, level int, ordered boolean, marker string, rows array<array<string>>, header array<string>, figure_id string, x0 double, y0 double, x1 double, y1 double"
 
 
 def drop_furniture(lines: DataFrame, heights: DataFrame) -> DataFrame:
@@ -55,11 +55,11 @@ def blocks(words: DataFrame, heights: DataFrame, images: DataFrame | None = None
                 found = pages.page_blocks([pages.Line.of(x) for x in (r.lines if r.lines is not None else [])])
                 found = pages.place_figures(found, [] if r.figures is None else list(r.figures), int(r.page))
                 out += [(r.doc_id, r.page, k, x.kind, x.text, x.level, x.ordered, x.marker, x.rows, x.header, x.figure_id, *x.box) for k, x in enumerate(found)]
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in BLOCK.split(", ")])
+            frame = pd.DataFrame(out, columns=["doc_id", *(c.split()[0] for c in BLOCK.split(", "))])
             frame["level"] = frame["level"].astype("Int32")
             yield frame
 
-    return per_page.select("doc_id", F.col("page").cast("int").alias("page"), "lines", "figures").mapInPandas(classify, BLOCK)
+    return per_page.select("doc_id", F.col("page").cast("int").alias("page"), "lines", "figures").mapInPandas(classify, f"doc_id {dict(words.dtypes)['doc_id']}, {BLOCK}")
 
 
 def markdown_table(header: Column, rows: Column) -> Column:
@@ -94,14 +94,9 @@ def render_markdown(rows: DataFrame) -> DataFrame:
     md = block_markdown(F.col("kind"), F.col("text"), F.col("level"), F.col("ordered"), F.col("marker"), F.col("table"), F.col("figure_id"))
     # A document's blocks are as large as the document.
     all_ = full.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "block_no", md.alias("md"), (F.col("kind") == "list_item").alias("item")))).alias("b"))
-    state = "struct<out:string,item:boolean>"
-
-    def add(acc: Column, x: Column) -> Column:
-        gap = F.when(acc["out"].isNull(), "").when(acc["item"] & x["item"], "\n").otherwise("\n\n")
-        return F.struct(F.concat(F.coalesce(acc["out"], F.lit("")), gap, x["md"]).alias("out"), x["item"].alias("item")).cast(state)
-
-    start = F.struct(F.lit(None).alias("out"), F.lit(False).alias("item")).cast(state)
-    return all_.select("doc_id", F.aggregate("b", start, add, lambda acc: F.concat(acc["out"], F.lit("\n"))).alias("markdown"))
+    # What parts a block from the one before is known from both; the whole is joined once.
+    parts = F.transform("b", lambda x, i: F.concat(F.when(i == 0, "").when(x["item"] & F.try_element_at("b", i)["item"], "\n").otherwise("\n\n"), x["md"]))
+    return all_.select("doc_id", F.concat(F.array_join(parts, ""), F.lit("\n")).alias("markdown"))
 
 
 def office_row(cells: Column) -> Column:

@@ -82,7 +82,7 @@ def document_text(lines: DataFrame) -> DataFrame:
 
 
 def split_cells(lines: DataFrame) -> DataFrame:
-    """(doc_id, page, line_no, cell_no, text, x0, x1): a gap of 18 points, or 1.5 times the line's size if more, begins a cell."""
+    """(doc_id, page, line_no, cell_no, text, x0, x1): a gap to the word before of 18 points, or 1.5 times the line's size if more, begins a cell, which ends where its last word does."""
     size = line_size(F.col("words"), F.col("y0"), F.col("y1"))
     cells = cell_arrays(F.col("words"), size)
     return lines.select("doc_id", "page", "line_no", F.posexplode(cells).alias("cell_no", "c")).select("doc_id", "page", "line_no", "cell_no", "c.*")
@@ -94,7 +94,7 @@ def cell_arrays(line_words: Column, size: Column) -> Column:
     def add(acc: Column, w: Column) -> Column:
         last = F.element_at(acc, -1)
         new = F.struct(w["text"].alias("text"), w["x0"].alias("x0"), w["x1"].alias("x1")).cast(cell)
-        grown = F.struct(F.concat(last["text"], F.lit(" "), w["text"]).alias("text"), last["x0"].alias("x0"), F.greatest(last["x1"], w["x1"]).alias("x1")).cast(cell)
+        grown = F.struct(F.concat(last["text"], F.lit(" "), w["text"]).alias("text"), last["x0"].alias("x0"), w["x1"].alias("x1")).cast(cell)
         opens = (F.size(acc) == 0) | (w["x0"] - last["x1"] >= F.greatest(F.lit(CELL_GAP), CELL_FACTOR * size))
         return F.when(opens, F.concat(acc, F.array(new))).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown)))
 

@@ -75,7 +75,9 @@ def list_marker(text: str) -> tuple[str, str, bool] | None:
     m = MARKER.match(text.strip())
     if not m:
         return None
-    return (m[1], m[2].strip(), False) if m[1] else (m[3], m[4].strip(), True)
+    if m[1]:
+        return m[1], m[2].strip(), False
+    return (m[3], m[4].strip(), True) if m[4].strip() else None
 
 
 def heading_level(line: Line, body: float) -> int | None:
@@ -91,12 +93,8 @@ def join_wrapped(text: str, following: str) -> str:
     return f"{text} {following}"
 
 
-def close(previous: Line, line: Line) -> bool:
-    return 0 <= previous.y0 - line.y1 <= PARAGRAPH_GAP * previous.height
-
-
 def continues_paragraph(previous: Line, line: Line) -> bool:
-    return close(previous, line) and not (abs(line.x0 - previous.x0) > INDENT and line.x0 < previous.x0) and abs(line.size - previous.size) <= SIZE_TOLERANCE
+    return 0 <= previous.y0 - line.y1 <= PARAGRAPH_GAP * previous.height and not (abs(line.x0 - previous.x0) > INDENT and line.x0 < previous.x0) and abs(line.size - previous.size) <= SIZE_TOLERANCE
 
 
 def cells_of(line: Line) -> list[list]:
@@ -105,7 +103,7 @@ def cells_of(line: Line) -> list[list]:
     for w in line.words:
         if out and w.x0 - out[-1][2] < least:
             out[-1][0] += " " + w.text
-            out[-1][2] = max(out[-1][2], w.x1)
+            out[-1][2] = w.x1
         else:
             out.append([w.text, w.x0, w.x1])
     return out
@@ -121,7 +119,7 @@ def table_at(lines: list[Line], at: int) -> tuple[Block, int] | None:
             break
         if rows:
             astray = sum(all(abs(a - c[1]) > ANCHOR for a in anchors) for c in cells)
-            if astray > 1 or not close(lines[k - 1], lines[k]):
+            if astray > 1 or lines[k - 1].y0 - lines[k].y1 > PARAGRAPH_GAP * lines[k - 1].height:  # rows may overlap
                 break
         rows.append(cells)
         for c in cells:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import trim_space
+
 # Thresholds of the routing rules (fixed values).
 FULL_PAGE, SCANNED, SPARSE, SUBSTANTIAL, MEANINGFUL = 0.75, 0.02, 0.03, 0.15, 16
 FIGURE_SHARE, FIGURE_SIDE, COVERED = 0.02, 24.0, 0.5
@@ -35,6 +37,18 @@ def ocr_reasons(text_length: str, text_coverage: str, image_count: str, image_co
     return F.array_compact(F.array(text, embedded, F.when(F.coalesce(garbled, F.lit(False)), "garbled")))
 
 
+def with_fallback(native: DataFrame, recognised: DataFrame) -> DataFrame:
+    """Native words, and recognised ones of the pages (doc_id, page) that have no native word."""
+    rest = recognised.join(native.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+    return native.unionByName(rest)
+
+
+def pages_to_recognise(pages: DataFrame) -> DataFrame:
+    """(doc_id, needs_ocr, pages) of pages (doc_id, page, reasons): which pages of a document have reasons, in order."""
+    hit = F.size("reasons") > 0
+    return pages.groupBy("doc_id").agg(F.bool_or(hit).alias("needs_ocr"), F.array_sort(F.collect_list(F.when(hit, F.col("page")))).alias("pages"))
+
+
 def merge_ocr_words(native: DataFrame, recognised: DataFrame) -> DataFrame:
     """Recognised words (doc_id, page, word_id, text, x0..y1) that native words do not already cover by half of their area.
 
@@ -89,13 +103,12 @@ def matrix_multiply(m: Column, n: Column) -> Column:
     )
 
 
-def tesseract_words(tsv: Column) -> Column:
-    """Words of a recogniser's TSV: array<struct(text, x0, y0, x1, y1, confidence)> in pixels from the top left, rows of level 5 with text and a confidence."""
+def tesseract_words(tsv: Column, least: float = 0.0) -> Column:
+    """Words of a recogniser's TSV: array<struct(text, x0, y0, x1, y1, confidence)> in pixels from the top left, rows of level 5 with text and a percentage of ``least`` or more."""
     rows = F.transform(F.split(tsv, "\r?\n"), lambda r: F.split(r, "\t"))
-    words = F.filter(rows, lambda r: (F.size(r) >= 12) & (r[0] == "5") & (F.trim(r[11]) != ""))
-    num = lambda x: F.try_to_number(x, F.lit("999999")).cast("double")
+    words = F.filter(rows, lambda r: (F.size(r) >= 12) & (r[0] == "5") & (trim_space(r[11]) != "") & (r[10].try_cast("double") >= least))
     c = lambda r: r[10].try_cast("double") / 100
-    return F.transform(words, lambda r: F.struct(r[11].alias("text"), r[6].try_cast("double").alias("x0"), r[7].try_cast("double").alias("y0"), (r[6].try_cast("double") + r[8].try_cast("double")).alias("x1"), (r[7].try_cast("double") + r[9].try_cast("double")).alias("y1"), F.when(c(r) <= 0, 0.01).when(c(r) > 1, 1.0).otherwise(c(r)).alias("confidence")))
+    return F.transform(words, lambda r: F.struct(trim_space(r[11]).alias("text"), r[6].try_cast("double").alias("x0"), r[7].try_cast("double").alias("y0"), (r[6].try_cast("double") + r[8].try_cast("double")).alias("x1"), (r[7].try_cast("double") + r[9].try_cast("double")).alias("y1"), F.when(c(r) <= 0, 0.01).when(c(r) > 1, 1.0).otherwise(c(r)).alias("confidence")))
 
 
 def polygon_box(points: Column) -> Column:
@@ -115,7 +128,7 @@ def ocr_json_words(answer: Column) -> Column:
     def word(r: Column) -> Column:
         box, poly = r["bbox"], polygon_box(r["polygon"])
         has = F.size(box) >= 4
-        return F.struct(r["text"].alias("text"), *(F.when(has, box[i]).otherwise(poly[n]).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))), F.coalesce(r["confidence"], F.lit(0.0)).alias("confidence"))
+        return F.struct(r["text"].alias("text"), *(F.when(has, side(box[i], box[(i + 2) % 4])).otherwise(poly[n]).alias(n) for i, (n, side) in enumerate(zip(("x0", "y0", "x1", "y1"), (F.least, F.least, F.greatest, F.greatest), strict=True))), F.coalesce(r["confidence"], F.lit(0.0)).alias("confidence"))
 
     from_results = F.transform(F.coalesce(a["results"], F.array()), word)
     plain = F.transform(F.coalesce(a["words"], F.array()), lambda w: F.struct(w["text"].alias("text"), w["x0"].alias("x0"), w["y0"].alias("y0"), w["x1"].alias("x1"), w["y1"].alias("y1"), F.coalesce(w["confidence"], F.lit(0.0)).alias("confidence")))

@@ -55,13 +55,19 @@ def print_tree(nodes: DataFrame, root: str, path: str, depth: str, label: Column
 
 
 def plan_outputs(files: DataFrame, key: str, path: str, suffix: str) -> DataFrame:
-    """(key, output): the path with a suffix in place of its extension; where several paths of a folder share a stem, each keeps its extension; paths that are still the same get -2, -3 by order of key."""
+    """(key, output): the path with a suffix in place of its extension; where several paths of a folder share a stem, each keeps its extension; paths that are still the same get -2, -3 by order of key, passing over names that another path has of itself."""
     stem = F.regexp_replace(path, r"\.[^./]*$", "")
     rows = files.where(F.col(path).isNotNull()).select(key, path, stem.alias("stem"))
     crowd = F.count("*").over(W.partitionBy("stem"))
     named = rows.select(key, F.when(crowd > 1, F.col(path)).otherwise(F.col("stem")).alias("base"))
     n = F.row_number().over(W.partitionBy("base").orderBy(key))
-    return named.select(key, F.concat("base", F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(""), F.lit(suffix)).alias("output"))
+    numbered = named.withColumn("n", n)
+    ends = named.select(F.regexp_extract("base", r"^(.*)-[1-9][0-9]{0,8}$", 1).alias("base"), F.regexp_extract("base", r"-([1-9][0-9]{0,8})$", 1).try_cast("int").alias("taken")).where("taken is not null")
+    taken = ends.join(numbered.where("n = 2").select("base"), "base", "left_semi").groupBy("base").agg(F.collect_set("taken").alias("taken"))
+    some = F.coalesce("taken", F.array().cast("array<int>"))
+    free = F.array_except(F.sequence(F.lit(2), F.col("n") + F.size(some)), some)
+    out = numbered.join(taken, "base", "left")
+    return out.select(key, F.concat("base", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.try_element_at(free, F.col("n") - 1).cast("string"))).otherwise(""), F.lit(suffix)).alias("output"))
 
 
 def page_list(spec: Column, count: Column) -> Column:

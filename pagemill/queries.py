@@ -40,6 +40,7 @@ def oracle_sql() -> dict[str, str]:
 # --- text -----------------------------------------------------------------
 
 LINES = "SELECT DISTINCT block_id, i AS line_no, string_split(text, chr(10))[i] AS line, string_split(text, chr(10))[i + 1] AS following FROM (SELECT DISTINCT block_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM blocks WHERE text IS NOT NULL)"
+MARKED = "SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM (SELECT doc_id, array_to_string([text, '1.', 'a)', '  2)x', '- ', '12. y', '1234. z', 'ab. q'], chr(10)) AS text FROM documents WHERE text IS NOT NULL))"
 DOC_LINES = "SELECT doc_id, i AS line_no, string_split(text, chr(10))[i] AS line FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL)"
 
 
@@ -60,11 +61,12 @@ def furniture_key(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"WITH t AS (SELECT doc_id, line_no, {_trimmed('line')} AS t FROM ({DOC_LINES})), m AS (SELECT *, regexp_extract(t, '^([-*•◦▪·–—]) ', 1) AS b, regexp_extract(t, '^([0-9]{{1,3}}[.)]|[A-Za-z][.)])', 1) AS e FROM t)"
-    f" SELECT doc_id, line_no, CASE WHEN b <> '' THEN b ELSE e END AS marker, CASE WHEN b <> '' THEN {_trimmed('substr(t, 2)')} ELSE {_trimmed('substr(t, length(e) + 1)')} END AS rest, b = '' AS ordered FROM m WHERE b <> '' OR e <> ''"
+    f"WITH t AS (SELECT doc_id, line_no, {_trimmed('line')} AS t FROM ({MARKED})), m AS (SELECT *, regexp_extract(t, '^([-*•◦▪·–—]) ', 1) AS b, regexp_extract(t, '^([0-9]{{1,3}}[.)]|[A-Za-z][.)])', 1) AS e FROM t)"
+    f" SELECT doc_id, line_no, CASE WHEN b <> '' THEN b ELSE e END AS marker, CASE WHEN b <> '' THEN {_trimmed('substr(t, 2)')} ELSE {_trimmed('substr(t, length(e) + 1)')} END AS rest, b = '' AS ordered FROM m WHERE b <> '' OR (e <> '' AND {_trimmed('substr(t, length(e) + 1)')} <> '')"
 )
 def list_markers(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
+    """Of the lines of each document, and of some more after its end."""
+    lines = table(spark, folder, "documents").where("text is not null").select("doc_id", F.posexplode(F.split(F.concat("text", F.lit("\n1.\na)\n  2)x\n- \n12. y\n1234. z\nab. q")), "\n")).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
     return lines.select("doc_id", "line_no", text.list_marker("line").alias("m")).where("m is not null").select("doc_id", "line_no", "m.*")
 
 
@@ -107,34 +109,68 @@ def column_index(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- formats --------------------------------------------------------------
 
-NAMED = "coalesce(map {" + ", ".join(f"'{k}': '{v}'" for k, v in formats.BY_NAME.items()) + "}[lower(regexp_extract({0}, '\\.([^./\\\\]+)$', 1))], '')"
+# Written out once more, so that a wrong entry of the operator's table shows (fixed values).
+NAMED = """CASE lower(regexp_extract({0}, '\\.([^./\\\\]+)$', 1))
+ WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'docm' THEN 'docx' WHEN 'xlsx' THEN 'xlsx' WHEN 'xlsm' THEN 'xlsx' WHEN 'pptx' THEN 'pptx' WHEN 'pptm' THEN 'pptx' WHEN 'odt' THEN 'odt' WHEN 'ods' THEN 'ods' WHEN 'odp' THEN 'odp'
+ WHEN 'rtf' THEN 'rtf' WHEN 'doc' THEN 'doc' WHEN 'xls' THEN 'xls' WHEN 'ppt' THEN 'ppt' WHEN 'msg' THEN 'msg' WHEN 'png' THEN 'png' WHEN 'jpg' THEN 'jpeg' WHEN 'jpeg' THEN 'jpeg' WHEN 'gif' THEN 'gif' WHEN 'tif' THEN 'tiff' WHEN 'tiff' THEN 'tiff'
+ WHEN 'bmp' THEN 'bmp' WHEN 'webp' THEN 'webp' WHEN 'zip' THEN 'zip' WHEN 'eml' THEN 'eml' WHEN 'txt' THEN 'txt' WHEN 'md' THEN 'txt' WHEN 'csv' THEN 'txt' WHEN 'tsv' THEN 'txt' WHEN 'json' THEN 'txt' WHEN 'log' THEN 'txt' ELSE '' END"""
 
 
 def _named(column: str) -> str:
     return NAMED.replace("{0}", column)
 
 
-@query(f"SELECT DISTINCT root_id AS id, name, {_named('name')} AS by_name FROM roots")
+#: Suffixes that are given to the names of the roots in turn, known ones and others.
+SUFFIXES = "docm XLSM pptm text xml html htm Md json log tif jpeg JPG webp ods odp rtf msg eml bin pdf gz none".split()
+SUFFIXED = "SELECT DISTINCT root_id, name, CASE WHEN root_id % 2 = 0 THEN name ELSE name || '.' || [" + ", ".join(f"'{x}'" for x in SUFFIXES) + f"][(root_id // 2) % {len(SUFFIXES)} + 1] END AS given FROM roots"
+
+
+@query(f"SELECT root_id AS id, given, {_named('given')} AS by_name FROM ({SUFFIXED})")
 def format_by_name(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "roots").select(F.col("root_id").alias("id"), "name", formats.format_by_name("name").alias("by_name")).distinct()
+    """Every other root's name with one more suffix."""
+    n = F.col("root_id")
+    given = F.when(n % 2 == 0, F.col("name")).otherwise(F.concat("name", F.lit("."), F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.floor(n / 2) % len(SUFFIXES) + 1).cast("int"))))
+    rows = table(spark, folder, "roots").select("root_id", "name").distinct()
+    return rows.select(F.col("root_id").alias("id"), given.alias("given")).withColumn("by_name", formats.format_by_name("given"))
 
 
-SNIFF = "CASE WHEN data IS NULL OR octet_length(data) = 0 THEN '' " + " ".join(f"WHEN hex(data) LIKE '{m}%' THEN '{k}'" for m, k in formats.MAGIC) + " WHEN contains(hex(data[1:1024]), '255044462D') THEN 'pdf' WHEN mail THEN 'eml' WHEN NOT regexp_matches(hex(data[1:512]), '^(?:..)*00') THEN 'txt' ELSE '' END"
+SNIFF = (
+    "CASE WHEN data IS NULL OR octet_length(data) = 0 THEN '' WHEN hex(data) LIKE '255044462D%' THEN 'pdf' WHEN hex(data) LIKE '89504E470D0A1A0A%' THEN 'png' WHEN hex(data) LIKE 'FFD8FF%' THEN 'jpeg' WHEN hex(data) LIKE '47494638__61%' THEN 'gif' WHEN hex(data) LIKE '49492A00%' OR hex(data) LIKE '4D4D002A%' THEN 'tiff' WHEN hex(data) LIKE '7B5C727466%' THEN 'rtf'"
+    " WHEN hex(data) LIKE 'D0CF11E0A1B11AE1%' THEN 'ole' WHEN hex(data) LIKE '504B0304%' THEN 'zip' WHEN contains(hex(data[1:1024]), '255044462D') THEN 'pdf' WHEN mail THEN 'eml' WHEN NOT regexp_matches(hex(data[1:512]), '^(?:..)*00') THEN 'txt' ELSE '' END"
+)
 MAIL = (
     "SELECT DISTINCT child_id, name, data, CASE WHEN head LIKE 'From %' THEN regexp_matches(string_split(head, chr(10))[2], '^[A-Za-z0-9-]+:') WHEN contains(head, 'MIME-Version:') OR contains(head, 'Content-Type:') THEN regexp_matches(head, '^[A-Za-z0-9-]+:')"
-    " ELSE (" + " + ".join(f"contains(head, '{h}')::INT" for h in formats.MAIL_HEADERS) + ") >= 2 AND regexp_matches(head, '^[A-Za-z0-9-]+:') END AS mail FROM (SELECT *, CASE WHEN hex(data) LIKE '255044462D%' OR hex(data) LIKE '89504E47%' THEN '' ELSE left(decode(data), 4096) END AS head FROM children)"
+    " ELSE contains(head, 'From:')::INT + contains(head, 'To:')::INT + contains(head, 'Subject:')::INT + contains(head, 'Message-ID:')::INT + contains(head, 'Date:')::INT + contains(head, 'Received:')::INT >= 2 AND regexp_matches(head, '^[A-Za-z0-9-]+:') END AS mail FROM (SELECT *, CASE WHEN hex(data) LIKE '255044462D%' OR hex(data) LIKE '89504E47%' THEN '' ELSE left(decode(data), 4096) END AS head FROM children)"
 )
 
 
-@query(f"SELECT child_id, sniffed, CASE WHEN sniffed = 'txt' AND named IN ('eml', 'rtf') THEN named WHEN sniffed <> '' THEN sniffed ELSE named END AS detected FROM (SELECT child_id, {SNIFF} AS sniffed, {_named('name')} AS named FROM ({MAIL}))")
+@query(f"SELECT child_id, sniffed, CASE WHEN sniffed = 'txt' AND named <> '' THEN named WHEN sniffed <> '' THEN sniffed ELSE named END AS detected FROM (SELECT child_id, {SNIFF} AS sniffed, {_named('name')} AS named FROM ({MAIL}))")
 def detect_format(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "children").select("child_id", "name", "data").dropDuplicates(["child_id"])
     return rows.select("child_id", formats.sniff("data").alias("sniffed"), formats.detect_format("data", "name").alias("detected"))
 
 
-@query("SELECT DISTINCT doc_id, file_format, file_format IN ('png', 'jpeg', 'gif', 'tiff', 'bmp', 'webp') AS is_image, file_format IN ('docx', 'xlsx', 'pptx', 'odt', 'ods', 'odp', 'rtf', 'doc', 'xls', 'ppt') AS is_office, CASE WHEN file_format = 'jpeg' THEN '.jpg' WHEN file_format IN ('ole', '') THEN '.bin' ELSE '.' || file_format END AS ext FROM files WHERE file_format IS NOT NULL")
+#: Bytes (hexadecimal), a name, and what they are by content, and by content and name: cases that the tables do not have.
+EDGES = [
+    ("504B0506" + "00" * 18, "empty.zip", "", "zip"), ("504B0304", "a.docx", "zip", "zip"), ("424D" + "46000000" + "00000000" + "36000000" + "28000000" + "00" * 8, "x", "bmp", "bmp"), ("424D" + "46000000" + "00000000" + "36000000" + "28000000", "x", "", ""),
+    ("424D" + "46000000" + "01000000" + "36000000" + "28000000" + "00" * 8, "x.bmp", "", "bmp"), ("424D492C68656967687420696E20636D2C6E616D650A", "bmi.csv", "txt", "txt"), ("C3", "cut", "txt", "txt"), ("61E282", "cut", "txt", "txt"), ("61FF626364", "bad", "", ""), ("61FF6263", "bad", "txt", "txt"), ("61FF62", "short", "txt", "txt"),
+    ("6100", "nul.txt", "", "txt"), ("68656C6C6F", "letter.docx", "txt", "docx"), ("68656C6C6F", "scan.pdf", "txt", "pdf"), ("68656C6C6F", "page.html", "txt", "txt"), ("68656C6C6F", "note.rtf", "txt", "rtf"), ("7B5C72746631", "a.doc", "rtf", "rtf"), ("D0CF11E0A1B11AE1", "a.XLS", "ole", "xls"), ("D0CF11E0A1B11AE1", "a.msg", "ole", "msg"),
+    ("D0CF11E0A1B11AE1", "a.docx", "ole", "ole"), ("0A0A255044462D", "x", "pdf", "pdf"), ("52494646" + "00000000" + "57454250", "x", "webp", "webp"), ("52494646" + "00000000" + "57415645", "x.webp", "", "webp"), ("", "a.pptm", "", "pptx"), ("46726F6D206D650A583A2079", "box", "eml", "eml"), ("46726F6D206D650A78", "memo", "txt", "txt"),
+    ("546F3A20610A446174653A20620A", "x", "eml", "eml"), ("546F3A20610A", "x", "txt", "txt"), ("782D793A20610A4D494D452D56657273696F6E3A20312E30", "x", "eml", "eml"), ("20546F3A20610A446174653A20620A", "x.eml", "txt", "eml"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{h}', '{n}', '{s}', '{d}')" for h, n, s, d in EDGES) + ") AS t(bytes, name, sniffed, detected)")
+def detect_edges(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.createDataFrame([(h, n) for h, n, _, _ in EDGES], "bytes string, name string").withColumn("data", F.unhex("bytes"))
+    return rows.select("bytes", "name", formats.sniff("data").alias("sniffed"), formats.detect_format("data", "name").alias("detected"))
+
+
+@query("SELECT DISTINCT doc_id, file_format, file_format IN ('png', 'jpeg', 'gif', 'tiff', 'bmp', 'webp') AS is_image, file_format IN ('docx', 'xlsx', 'pptx', 'odt', 'ods', 'odp', 'rtf', 'doc', 'xls', 'ppt') AS is_office, CASE file_format WHEN '' THEN '' WHEN 'jpeg' THEN '.jpg' WHEN 'ole' THEN '.bin' ELSE '.' || file_format END AS ext FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'ole' ELSE file_format END AS file_format FROM files WHERE file_format IS NOT NULL)")
 def format_predicates(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "files").where("file_format is not null").select("doc_id", "file_format").distinct()
+    """Three files in four as unknown, jpeg and ole files, which the table has few of."""
+    n = F.col("doc_id") % 4
+    rows = table(spark, folder, "files").where("file_format is not null").select("doc_id", F.when(n == 0, "").when(n == 1, "jpeg").when(n == 2, "ole").otherwise(F.col("file_format")).alias("file_format")).distinct()
     return rows.select("doc_id", "file_format", F.col("file_format").isin(formats.IMAGES).alias("is_image"), F.col("file_format").isin(formats.OFFICE).alias("is_office"), formats.extension("file_format").alias("ext"))
 
 
@@ -198,8 +234,8 @@ def paragraph_breaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"WITH s AS (SELECT p.*, z.size FROM ({PLACED}) p JOIN ({SIZES}) z USING (doc_id, page, line_no)), g AS (SELECT *, CASE WHEN x0 - max(x1) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= greatest(18, 1.5::DOUBLE * size) THEN 1 ELSE 0 END AS s2 FROM s),"
-    " c AS (SELECT *, sum(s2) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, seq) AS cell_no FROM g) SELECT doc_id, page, line_no::INT AS line_no, cell_no::INT AS cell_no, string_agg(text, ' ' ORDER BY x0, seq) AS text, min(x0) AS x0, max(x1) AS x1 FROM c GROUP BY ALL"
+    f"WITH s AS (SELECT p.*, z.size FROM ({PLACED}) p JOIN ({SIZES}) z USING (doc_id, page, line_no)), g AS (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, seq) >= greatest(18, 1.5::DOUBLE * size) THEN 1 ELSE 0 END AS s2 FROM s),"
+    " c AS (SELECT *, sum(s2) OVER (PARTITION BY doc_id, page, line_no ORDER BY x0, seq) AS cell_no FROM g) SELECT doc_id, page, line_no::INT AS line_no, cell_no::INT AS cell_no, string_agg(text, ' ' ORDER BY x0, seq) AS text, min(x0) AS x0, max(struct_pack(a := x0, b := seq, c := x1)).c AS x1 FROM c GROUP BY ALL"
 )
 def split_cells(spark: SparkSession, folder: str) -> DataFrame:
     return layout.split_cells(_lines(spark, folder))
@@ -240,6 +276,36 @@ def blocks_of_words(spark: SparkSession, folder: str) -> DataFrame:
     return block_ops.blocks(table(spark, folder, "words"), table(spark, folder, "page_complexity")).select("doc_id", "page", "block_no", "kind", "text", "level", "ordered", "marker")
 
 
+# Lines without running ones, with what each says by itself.
+KEPT = (
+    "WITH p AS (SELECT DISTINCT doc_id, page, height FROM page_complexity), np AS (SELECT doc_id, count(*) AS pages FROM p GROUP BY ALL), s AS (SELECT * FROM (" + SIZES + ") LEFT JOIN p USING (doc_id, page)), k AS (SELECT *, regexp_replace(regexp_replace(lower(text), '\\p{Nd}', '#', 'g'), '" + SPACE + "+', '', 'g') AS key, coalesce(height > 0 AND (y0 >= height - 0.12::DOUBLE * height OR y1 <= 0.12::DOUBLE * height), false) AS edge FROM s),"
+    " again AS (SELECT doc_id, key FROM (SELECT DISTINCT doc_id, page, key FROM k WHERE edge AND key <> '') JOIN np USING (doc_id) WHERE pages >= 3 GROUP BY doc_id, key, pages HAVING count(*) >= ceil(pages * 0.6::DOUBLE)),"
+    " l AS (SELECT * FROM k WHERE NOT (edge AND EXISTS (SELECT 1 FROM again WHERE again.doc_id = k.doc_id AND again.key = k.key)))"
+)
+
+
+@query(
+    KEPT.replace("WITH p AS", "WITH RECURSIVE p AS", 1)
+    + f", wide AS (SELECT DISTINCT doc_id, page FROM (SELECT w.doc_id, w.page, w.line_no, x0 - lag(x1) OVER (PARTITION BY w.doc_id, w.page, w.line_no ORDER BY w.x0, w.seq) AS gap, l.size FROM ({PLACED}) w JOIN (SELECT doc_id, page, line_no, size FROM l) l USING (doc_id, page, line_no)) WHERE gap >= least(24, greatest(18, 1.5::DOUBLE * size))),"
+    " b AS (SELECT doc_id, page, z[len(z) // 2 + 1] AS body FROM (SELECT doc_id, page, list(size ORDER BY size) AS z FROM (SELECT doc_id, page, size, unnest(range(n_words)) FROM l) GROUP BY ALL)),"
+    f" m AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) AS n, x0, y0, y1, size, text, regexp_extract({_trimmed('text')}, '^([-*•◦▪·–—]) ', 1) AS bullet, regexp_extract({_trimmed('text')}, '^([0-9]{{1,3}}[.)]|[A-Za-z][.)])', 1) AS number, {_trimmed('text')} AS t, CASE WHEN n_words > 14 OR {_trimmed('text')} LIKE '%.' OR body <= 0 THEN NULL WHEN size / body >= 1.8 THEN 1 WHEN size / body >= 1.45 THEN 2 WHEN size / body >= 1.25 THEN 3 WHEN size / body >= 1.15 THEN 4 END AS lvl FROM l JOIN b USING (doc_id, page) ANTI JOIN wide USING (doc_id, page)),"
+    f" q AS (SELECT doc_id, page, n, x0, y0, y1, size, text, lvl, CASE WHEN bullet <> '' THEN bullet WHEN number <> '' AND {_trimmed('substr(t, length(number) + 1)')} <> '' THEN number END AS marker, {_trimmed('substr(t, length(bullet || number) + 1)')} AS rest, bullet = '' AS ordered FROM m),"
+    " r AS (SELECT *, 0 AS block_no, CASE WHEN marker IS NOT NULL THEN 'list_item' WHEN lvl IS NOT NULL THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN marker IS NOT NULL THEN rest ELSE text END AS so_far, marker AS bm, CASE WHEN marker IS NOT NULL THEN ordered END AS bo, CASE WHEN marker IS NULL THEN lvl END AS bl, x0 AS bx FROM q WHERE n = 1 UNION ALL"
+    " SELECT doc_id, page, n, x0, y0, y1, size, text, lvl, marker, rest, ordered, CASE WHEN goes THEN block_no ELSE block_no + 1 END, CASE WHEN goes THEN kind WHEN marker IS NOT NULL THEN 'list_item' WHEN lvl IS NOT NULL THEN 'heading' ELSE 'paragraph' END,"
+    " CASE WHEN NOT goes THEN CASE WHEN marker IS NOT NULL THEN rest ELSE text END WHEN so_far LIKE '%-' AND regexp_matches(text, '^[a-z\\x{800}-\\x{10FFFF}]') THEN substr(so_far, 1, length(so_far) - 1) || text ELSE so_far || ' ' || text END,"
+    " CASE WHEN goes THEN bm ELSE marker END, CASE WHEN goes THEN bo WHEN marker IS NOT NULL THEN ordered END, CASE WHEN goes THEN bl WHEN marker IS NULL THEN lvl END, CASE WHEN goes THEN bx ELSE x0 END FROM (SELECT q.*, block_no, kind, so_far, bm, bo, bl, bx, r.kind <> 'heading' AND r.y0 - q.y1 >= 0 AND r.y0 - q.y1 <= 1.8::DOUBLE * (r.y1 - r.y0) AND NOT (abs(q.x0 - r.x0) > 14 AND q.x0 < r.x0) AND abs(q.size - r.size) <= 0.5::DOUBLE"
+    " AND q.marker IS NULL AND CASE WHEN r.kind = 'list_item' THEN q.x0 > bx ELSE q.lvl IS NULL END AS goes FROM r JOIN q ON q.doc_id = r.doc_id AND q.page = r.page AND q.n = r.n + 1))"
+    " SELECT doc_id, page, block_no, kind, text, level, ordered, marker FROM (SELECT doc_id, page, block_no, kind, so_far AS text, bl AS level, bo AS ordered, bm AS marker, n FROM r) QUALIFY row_number() OVER (PARTITION BY doc_id, page, block_no ORDER BY n DESC) = 1"
+)
+def blocks_of_plain_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole chain on pages of which no line has a gap as wide as between cells or columns."""
+    words, heights = table(spark, folder, "words"), table(spark, folder, "page_complexity")
+    lines = block_ops.drop_furniture(layout.group_lines(words), heights)
+    gaps = F.transform("words", lambda w, i: w["x0"] - F.when(i > 0, F.try_element_at("words", i)["x1"]))
+    wide = lines.where(F.exists(gaps, lambda g: g >= F.least(F.lit(24.0), F.greatest(F.lit(18.0), 1.5 * _size())))).select("doc_id", "page").distinct()
+    return block_ops.blocks(words, heights).join(wide, ["doc_id", "page"], "left_anti").select("doc_id", "page", "block_no", "kind", "text", "level", "ordered", "marker")
+
+
 # --- routing and recognition -----------------------------------------------
 
 PAGES = "SELECT * FROM page_complexity QUALIFY row_number() OVER (PARTITION BY doc_id, page) = 1"
@@ -260,16 +326,24 @@ def ocr_reasons(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT doc_id, bool_or(len(r) > 0) AS needs_ocr, coalesce(string_agg(page::VARCHAR, ',' ORDER BY page) FILTER (len(r) > 0), '') AS pages FROM (SELECT doc_id, page, {REASONS} AS r FROM ({PAGES})) GROUP BY ALL")
 def ocr_pages(spark: SparkSession, folder: str) -> DataFrame:
-    hit = F.size("why") > 0
-    return _routed(spark, folder).groupBy("doc_id").agg(F.bool_or(hit).alias("needs_ocr"), F.array_join(F.array_sort(F.collect_list(F.when(hit, F.col("page")))), ",").alias("pages"))
+    found = routing.pages_to_recognise(_routed(spark, folder).withColumn("reasons", F.col("why")))
+    return found.select("doc_id", "needs_ocr", F.array_join("pages", ",").alias("pages"))
 
 
-@query(f"SELECT doc_id, page, round(least(1, sum(greatest(0, (x1 - x0) * (y1 - y0))) / any_value(width * height)), 6) AS text_coverage FROM ({WORDS}) JOIN (SELECT doc_id, page, width, height FROM ({PAGES}) WHERE width * height > 0) USING (doc_id, page) GROUP BY ALL")
+SIZED = f"SELECT doc_id, page, width, height FROM ({PAGES}) WHERE width * height > 0"
+PICTURES = "SELECT DISTINCT block_id, doc_id, page, x0, y0, x1, y1 FROM blocks WHERE kind = 'figure' AND x0 IS NOT NULL"
+
+
+@query(
+    f"WITH p AS ({SIZED}), t AS (SELECT doc_id, page, sum(greatest(0, (x1 - x0) * (y1 - y0))) AS a FROM ({WORDS}) GROUP BY ALL), i AS (SELECT doc_id, page, sum((x1 - x0) * (y1 - y0)) AS a, max((x1 - x0) * (y1 - y0)) AS l, count(*) AS n FROM ({PICTURES}) GROUP BY ALL)"
+    " SELECT doc_id, page, round(least(1, coalesce(t.a, 0) / (width * height)), 6) AS text_coverage, coalesce(n, 0) AS image_count, round(least(1, coalesce(i.a, 0) / (width * height)), 6) AS image_coverage, round(least(1, coalesce(l, 0) / (width * height)), 6) AS largest_image_coverage, least(1, coalesce(l, 0) / (width * height)) >= 0.75::DOUBLE AS full_page_image FROM p LEFT JOIN t USING (doc_id, page) LEFT JOIN i USING (doc_id, page)"
+)
 def page_complexity(spark: SparkSession, folder: str) -> DataFrame:
-    words = layout.distinct_words(table(spark, folder, "words"))
+    """Words as text, figure blocks as images."""
     pages = table(spark, folder, "page_complexity").where("width * height > 0").select("doc_id", "page", "width", "height").dropDuplicates(["doc_id", "page"])
-    measured = routing.page_measures(words, words.limit(0), pages.join(words.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi"))
-    return measured.select("doc_id", "page", F.round("text_coverage", 6).alias("text_coverage"))
+    images = table(spark, folder, "blocks").where("kind = 'figure' and x0 is not null").select("block_id", "doc_id", "page", "x0", "y0", "x1", "y1").distinct()
+    m = routing.page_measures(layout.distinct_words(table(spark, folder, "words")), images, pages)
+    return m.select("doc_id", "page", *(F.round(c, 6).alias(c) for c in ("text_coverage", "image_coverage", "largest_image_coverage")), "image_count", "full_page_image")
 
 
 SHIFTED = f"SELECT doc_id, page, seq AS word_seq, text, x0 + (seq % 4) * (x1 - x0) * 0.3::DOUBLE AS x0, y0, x1 + (seq % 4) * (x1 - x0) * 0.3::DOUBLE AS x1, y1 FROM ({WORDS})"
@@ -287,11 +361,12 @@ def merge_ocr_words(spark: SparkSession, folder: str) -> DataFrame:
     return routing.merge_ocr_words(w.where("seq % 5 < 3"), shifted).select("doc_id", "page", "word_seq", "text")
 
 
-@query(f"SELECT doc_id, page, seq, floor(x0 * 2)::INT AS \"left\", floor((792 - y1) * 2)::INT AS \"top\", floor(x1 * 2)::INT + 1 AS \"right\", floor((792 - y0) * 2)::INT + 1 AS \"bottom\", x0 / 2 AS point_x FROM ({WORDS})")
+@query(f"SELECT doc_id, page, seq, floor(x0 * 2)::INT AS \"left\", floor((height - y1) * 2)::INT AS \"top\", floor(x1 * 2)::INT + 1 AS \"right\", floor((height - y0) * 2)::INT + 1 AS \"bottom\", x0 / 2 AS point_x FROM ({WORDS}) JOIN ({SIZED}) USING (doc_id, page)")
 def pixel_rect(spark: SparkSession, folder: str) -> DataFrame:
-    w = layout.distinct_words(table(spark, folder, "words"))
+    pages = table(spark, folder, "page_complexity").where("width * height > 0").select("doc_id", "page", "height").dropDuplicates(["doc_id", "page"])
+    w = layout.distinct_words(table(spark, folder, "words")).join(pages, ["doc_id", "page"])
     c = [F.col(x) for x in ("x0", "y0", "x1", "y1")]
-    return w.select("doc_id", "page", "seq", routing.pixel_rect(*c, F.lit(2.0), F.lit(792.0)).alias("r"), routing.pixels_to_points(F.col("x0"), F.lit(2.0)).alias("point_x")).select("doc_id", "page", "seq", "r.*", "point_x")
+    return w.select("doc_id", "page", "seq", routing.pixel_rect(*c, F.lit(2.0), F.col("height")).alias("r"), routing.pixels_to_points(F.col("x0"), F.lit(2.0)).alias("point_x")).select("doc_id", "page", "seq", "r.*", "point_x")
 
 
 @query(f"SELECT doc_id, page, seq, -y1 + 8 AS x0, 2 * x0 - 4 AS y0, -y0 + 8 AS x1, 2 * x1 - 4 AS y1 FROM ({WORDS})")
@@ -300,7 +375,7 @@ def matrix_apply(spark: SparkSession, folder: str) -> DataFrame:
     return layout.distinct_words(table(spark, folder, "words")).select("doc_id", "page", "seq", routing.matrix_apply(m, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("r")).select("doc_id", "page", "seq", "r.*")
 
 
-@query(f"SELECT doc_id, page, text, floor(x0)::DOUBLE AS x0, floor(y0)::DOUBLE AS y0, floor(x1)::DOUBLE AS x1, floor(y1)::DOUBLE AS y1, greatest(0.01, least(1, (seq % 103) / 100::DOUBLE)) AS confidence FROM ({WORDS}) WHERE trim(text) <> '' AND NOT contains(text, chr(9)) AND NOT contains(text, chr(10)) AND NOT contains(text, chr(13))")
+@query(f"SELECT doc_id, page, {_trimmed('text')} AS text, floor(x0)::DOUBLE AS x0, floor(y0)::DOUBLE AS y0, floor(x1)::DOUBLE AS x1, floor(y1)::DOUBLE AS y1, greatest(0.01, least(1, (seq % 103) / 100::DOUBLE)) AS confidence FROM ({WORDS}) WHERE trim(text) <> '' AND NOT contains(text, chr(9)) AND NOT contains(text, chr(10)) AND NOT contains(text, chr(13))")
 def tesseract_tsv(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's words written as a recogniser's table and read back."""
     w = layout.distinct_words(table(spark, folder, "words")).where(r"trim(text) <> '' and not text rlike '[\\t\\n\\r]'")
@@ -332,10 +407,10 @@ def polygon_bbox(spark: SparkSession, folder: str) -> DataFrame:
 FIGURES = "SELECT DISTINCT block_id, doc_id, page, x0, y0, x1, y1 FROM blocks WHERE kind = 'figure' AND x0 IS NOT NULL"
 
 
-@query(f"SELECT block_id FROM ({FIGURES}) WHERE x1 - x0 >= 24 AND y1 - y0 >= 24 AND (x1 - x0) * (y1 - y0) >= 0.02::DOUBLE * 612 * 792")
+@query(f"SELECT block_id FROM ({FIGURES}) JOIN ({SIZED}) USING (doc_id, page) WHERE x1 - x0 >= 24 AND y1 - y0 >= 24 AND (x1 - x0) * (y1 - y0) >= 0.02::DOUBLE * width * height")
 def ocr_figure_candidates(spark: SparkSession, folder: str) -> DataFrame:
     figures = table(spark, folder, "blocks").where("kind = 'figure' and x0 is not null").select("block_id", "doc_id", "page", "x0", "y0", "x1", "y1").distinct()
-    pages = figures.select("doc_id", "page").distinct().withColumns({"width": F.lit(612.0), "height": F.lit(792.0)})
+    pages = table(spark, folder, "page_complexity").where("width * height > 0").select("doc_id", "page", "width", "height").dropDuplicates(["doc_id", "page"])
     return routing.figure_candidates(figures, pages).select("block_id")
 
 
@@ -343,9 +418,7 @@ def ocr_figure_candidates(spark: SparkSession, folder: str) -> DataFrame:
 def ocr_fallback(spark: SparkSession, folder: str) -> DataFrame:
     """Native words; recognised ones on pages that have none."""
     w = layout.distinct_words(table(spark, folder, "words"))
-    native = w.where("confidence = 0")
-    rest = w.where("confidence is null or confidence <> 0").join(native.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
-    return native.unionByName(rest).select("doc_id", "page", "seq", "text")
+    return routing.with_fallback(w.where("confidence = 0"), w.where("confidence is null or confidence <> 0")).select("doc_id", "page", "seq", "text")
 
 
 @query(f"SELECT doc_id, page, seq, CASE WHEN confidence * 120 <= 0 THEN 0.01 WHEN confidence * 120 / 100 > 1 THEN 1 ELSE confidence * 120 / 100 END::DOUBLE AS confidence FROM ({WORDS}) WHERE confidence IS NOT NULL")
@@ -367,13 +440,16 @@ def child_basename(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "files").dropDuplicates(["doc_id"]).where("path is not null").select("doc_id", text.base_name("path").alias("name"))
 
 
-@query("SELECT DISTINCT doc_id, CASE doc_id % 3 WHEN 2 THEN to_base64(encode(text)) ELSE text END AS decoded FROM documents WHERE text IS NOT NULL")
+@query("SELECT DISTINCT doc_id, CASE doc_id % 5 WHEN 2 THEN to_base64(encode(text)) WHEN 4 THEN text || '=Z' ELSE text END AS decoded FROM documents WHERE text IS NOT NULL")
 def transfer_decode(spark: SparkSession, folder: str) -> DataFrame:
-    """Bodies in base64, with line breaks; as they are; and in base64 of base64."""
+    """Bodies in base64, with line breaks; as they are; in base64 of base64; quoted-printable with soft breaks; and badly quoted."""
     rows = table(spark, folder, "documents").where("text is not null").select("doc_id", "text").distinct()
+    n = F.col("doc_id") % 5
     packed = F.base64(F.encode("text", "UTF-8"))
-    body = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace(packed, "(.{60})", "$1\r\n")).when(F.col("doc_id") % 3 == 1, F.col("text")).otherwise(F.base64(F.encode(F.regexp_replace(packed, "\\s", ""), "UTF-8")))
-    encoding = F.when(F.col("doc_id") % 3 == 1, "8bit").otherwise("Base64")
+    # Each byte as an escape, sixteen a line.
+    quoted = F.regexp_replace(F.regexp_replace(F.hex(F.encode("text", "UTF-8")), "(..)", "=$1"), "((?:=..){16})", "$1=\r\n")
+    body = F.when(n == 0, F.regexp_replace(packed, "(.{60})", "$1\r\n")).when(n == 1, F.col("text")).when(n == 2, F.base64(F.encode(F.regexp_replace(packed, "\\s", ""), "UTF-8"))).when(n == 3, quoted).otherwise(F.concat("text", F.lit("=Z")))
+    encoding = F.when(n == 1, "8bit").when(n >= 3, " Quoted-Printable").otherwise("Base64")
     return rows.select("doc_id", text.transfer_decode(body, encoding).alias("decoded"))
 
 
@@ -480,9 +556,16 @@ def print_tree(spark: SparkSession, folder: str) -> DataFrame:
     return trees.print_tree(nodes, "doc_id", "path", "depth", F.col("label"))
 
 
-@query(f"WITH s AS (SELECT doc_id, path, regexp_replace(path, '\\.[^./]*$', '') AS stem FROM ({FILES}) WHERE path IS NOT NULL), b AS (SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY stem) > 1 THEN path ELSE stem END AS base FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS n FROM b) SELECT doc_id, base || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.md' AS output FROM n")
+@query(
+    f"WITH s AS (SELECT doc_id, path, regexp_replace(path, '\\.[^./]*$', '') AS stem FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'same/a' WHEN 1 THEN 'same/a-' || (doc_id % 20 + 2) WHEN 2 THEN path || '.md' ELSE path END AS path FROM ({FILES}) WHERE path IS NOT NULL)), b AS (SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY stem) > 1 THEN path ELSE stem END AS base FROM s),"
+    " n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY base) AS m FROM b), names AS (SELECT DISTINCT base FROM b), free AS (SELECT base, k, row_number() OVER (PARTITION BY base ORDER BY k) AS i FROM (SELECT DISTINCT base, unnest(range(2, m + 60)) AS k FROM n WHERE m > 1) f WHERE NOT EXISTS (SELECT 1 FROM names WHERE names.base = f.base || '-' || f.k))"
+    " SELECT doc_id, n.base || CASE WHEN n > 1 THEN '-' || k ELSE '' END || '.md' AS output FROM n LEFT JOIN free ON n.base = free.base AND n.n = free.i + 1"
+)
 def plan_outputs(spark: SparkSession, folder: str) -> DataFrame:
-    return trees.plan_outputs(_files(spark, folder), "doc_id", "path", ".md")
+    """Some paths are made the same, or what the same would be called."""
+    n = F.col("doc_id") % 7
+    path = F.when(n == 0, "same/a").when(n == 1, F.concat(F.lit("same/a-"), (F.col("doc_id") % 20 + 2).cast("string"))).when(n == 2, F.concat("path", F.lit(".md"))).otherwise(F.col("path"))
+    return trees.plan_outputs(_files(spark, folder).where("path is not null").withColumn("path", path), "doc_id", "path", ".md")
 
 
 @query(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
-import os
+import re
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -24,6 +26,7 @@ def session(master: str | None = None, cores: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -58,9 +61,14 @@ def spread(df: DataFrame, *keys: str, least: int = 2) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from the shared checkpoint folder, so that a long plan is not computed again; spark.checkpoint.dir names the folder and a local one is set only where it is unset."""
+    """The same rows read back from the shared checkpoint folder, so that a long plan is not computed again. spark.checkpoint.dir names the folder; where it is unset, a local master gets one of its own and any other is an error."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "pagemill-checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[[^\]-]*\])?$", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="pagemill-checkpoints-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

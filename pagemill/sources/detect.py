@@ -29,7 +29,7 @@ def is_text(data: bytes) -> bool:
     head = data[:512]
     if not head or b"\0" in head:
         return False
-    for cut in range(4 if len(data) > 512 else 1):
+    for cut in range(min(4, len(head) + 1)):
         try:
             head[: len(head) - cut].decode()
             return True
@@ -47,9 +47,10 @@ def zip_kind(data: bytes) -> str:
                     if entry.filename.startswith(folder):
                         return kind
                 if entry.filename == "mimetype":
-                    kind = z.read(entry).decode("ascii", "replace")
+                    with z.open(entry) as f:
+                        kind = f.read(128).decode("ascii", "replace")
                     for suffix, found in (("text", "odt"), ("spreadsheet", "ods"), ("presentation", "odp")):
-                        if kind.startswith("application/vnd.oasis.opendocument." + suffix):
+                        if "opendocument." + suffix in kind:
                             return found
     except (zipfile.BadZipFile, OSError, NotImplementedError, RuntimeError, ValueError, EOFError):
         pass
@@ -64,7 +65,7 @@ def sniff(data: bytes) -> str:
             return zip_kind(data) if kind == "zip" else kind
     if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
         return "webp"
-    if len(data) >= 18 and data[:2] == b"BM" and data[6:10] == bytes(4) and 26 <= int.from_bytes(data[10:14], "little") <= 1 << 20 and int.from_bytes(data[14:18], "little") in (12, 16, 40, 52, 56, 64, 108, 124):
+    if len(data) >= 26 and data[:2] == b"BM" and data[6:10] == bytes(4) and 26 <= int.from_bytes(data[10:14], "little") <= 1 << 20 and int.from_bytes(data[14:18], "little") in (12, 16, 40, 52, 56, 64, 108, 124):
         return "bmp"
     if b"%PDF-" in data[:1024]:
         return "pdf"
@@ -73,6 +74,6 @@ def sniff(data: bytes) -> str:
 
 def detect(data: bytes, name: str) -> str:
     seen, named = sniff(data), by_name(name)
-    if (seen == "ole" and named in ("doc", "xls", "ppt", "msg")) or (seen == "txt" and named in ("eml", "rtf")):
+    if (seen == "ole" and named in ("doc", "xls", "ppt", "msg")) or (seen == "txt" and named):
         return named
     return seen or named

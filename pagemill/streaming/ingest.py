@@ -18,9 +18,9 @@ def stream_files(spark: SparkSession, folder: str, per_trigger: int = 1000) -> D
 
 
 def ingest(spark: SparkSession, folder: str, output: str, checkpoint: str, options: Options = Options()) -> StreamingQuery:
-    """Writes the tree of every new file to output as Parquet; the checkpoint folder remembers what was read. Stops when all present files are done."""
+    """Writes the tree of every new file to output as Parquet, a folder for each batch; the checkpoint folder remembers what was read. Stops when all present files are done."""
 
     def write(batch: DataFrame, number: int) -> None:
-        extract(batch, options=options).withColumn("batch", F.lit(number)).write.mode("append").parquet(output)
+        extract(batch, options=options).write.mode("overwrite").parquet(f"{output}/batch={number}")  # a batch that is repeated replaces itself
 
     return stream_files(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
