@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import signal
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 LARGEST = 128 << 20
@@ -52,3 +56,22 @@ class Budget:
                 continue
             self.take(len(data))
             yield Child(name, data)
+
+
+@contextmanager
+def deadline(seconds: float | None) -> Iterator[None]:
+    """Raises TimeoutError in what takes longer; None is without limit, and so is a thread that cannot be interrupted."""
+    if seconds is None or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_: object) -> None:
+        raise TimeoutError(f"took longer than {seconds:g} seconds")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)

@@ -45,7 +45,7 @@ def test_markdown_of_files(spark):
     file = b.pdf([[("The Title", 72, 720, 24), ("First line of text in the", 72, 680, 11), ("paragraph goes on.", 72, 666, 11), ("1. One", 72, 630, 11), ("2. Two", 72, 616, 11), ("a", 72, 560, 11), ("b", 200, 560, 11), ("1", 72, 546, 11), ("2", 200, 546, 11)]], [[(72, 100, 100, 100)]])
     rows = spark.createDataFrame([("a.pdf", bytearray(file), "pdf"), ("b.pdf", bytearray(b"x"), "pdf")], FILES)
     got = {r.path: r.markdown for r in documents.markdown(rows).collect()}
-    assert got == {"a.pdf": "# The Title\n\nFirst line of text in the paragraph goes on.\n\n1. One\n2. Two\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n![](img_p1_1.png)\n"}
+    assert got == {"a.pdf": "# The Title\n\nFirst line of text in the paragraph goes on.\n\n1. One\n2. Two\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n\n![](img_p1_1.png)\n", "b.pdf": None}
 
 
 def test_recognition(spark):

@@ -162,7 +162,7 @@ def test_extract_and_readers_on_spark(spark, tmp_path):
     (tmp_path / "sub" / "b.zip").write_bytes(b.zipped({"x.eml": b.mail("s", "hi", "c.txt", b"inside")}))
     (tmp_path / "c.docx").write_bytes(b.docx(b.paragraph("Para")))
     files = binary_files(spark, str(tmp_path))
-    assert {r.name: r.file_format for r in files.select("name", "file_format").collect()} == {"a.pdf": "pdf", "b.zip": "zip", "c.docx": "zip"}
+    assert {r.name: r.file_format for r in files.select("name", "file_format").collect()} == {"a.pdf": "pdf", "b.zip": "zip", "c.docx": "docx"}
     tree = extract(files).collect()
     assert sorted(r.name for r in tree) == ["a.pdf", "b.zip", "c.docx", "c.txt", "x.eml"]
     assert next(r.text for r in tree if r.name == "a.pdf") == "One\fTwo"
@@ -190,3 +190,190 @@ def test_page_lists():
     for bad in ("0", "3-1", "-2", "abc", "1-x"):
         with pytest.raises(ValueError):
             pages_selected(bad, 5)
+
+
+def document(objects, root=1):
+    """A file of the given objects, numbered from 1."""
+    out = b"%PDF-1.6\n"
+    for k, o in enumerate(objects, 1):
+        out += b"%d 0 obj\n" % k + o + b"\nendobj\n"
+    return out + b"trailer\n<< /Root %d 0 R >>\n" % root
+
+
+def stream(data, head=b""):
+    return b"<< " + head + b" /Length %d >>\nstream\n" % len(data) + data + b"\nendstream"
+
+
+def one_page(content, fonts=b"", more=(), head=b""):
+    return document([b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 400 300] /Contents 4 0 R /Resources << /Font << " + fonts + b" >> >> >>", stream(content, head), *more])
+
+
+def test_composite_font_with_unicode_map():
+    cmap = b"1 begincodespacerange <0000> <FFFF> endcodespacerange\n2 beginbfchar <0001> <0416> <0002> <00660069> endbfchar\n2 beginbfrange <0010> <0012> <0041> <0020> <0021> [<0031> <0032>] endbfrange"
+    fonts = [b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [6 0 R] /ToUnicode 7 0 R >>", b"<< /Subtype /CIDFontType2 /DW 500 /W [16 [700 700] 32 33 400] >>", stream(cmap)]
+    data = one_page(b"BT /F 10 Tf 50 200 Td <00010002001000110012> Tj 100 0 Td <00200021> Tj 0 -40 Td <00990099> Tj ET", b"/F 5 0 R", fonts)
+    words = pdf.page(f := pdf.File(data), f.pages()[0]).words
+    assert [w["text"] for w in words] == ["ЖfiABC", "12", "��"]
+    assert words[0]["x1"] == pytest.approx(50 + 5 + 5 + 7 + 7 + 5) and words[1]["x1"] - words[1]["x0"] == pytest.approx(8)
+
+
+def test_simple_font_with_differences():
+    font = b"<< /Type /Font /Subtype /Type1 /BaseFont /Abc /Encoding << /BaseEncoding /MacRomanEncoding /Differences [1 /eacute /ff /Scaron /uni20AC 66 /Zcaron.alt] >> >>"
+    data = one_page(b"BT /F 10 Tf 50 200 Td (A\\001\\002\\003\\004B\\216) Tj ET", b"/F 5 0 R", [font])
+    assert pdf.text(data) == "AéffŠ€Žé"
+
+
+def lzw(data):
+    """Literal codes alone, the table cleared before the width grows."""
+    codes = [256]
+    for k, c in enumerate(data):
+        codes += [256] * (k > 0 and k % 200 == 0) + [c]
+    bits = "".join(f"{c:09b}" for c in [*codes, 257])
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def test_stream_filters():
+    import base64
+    import zlib
+
+    content = b"BT /F 10 Tf 50 200 Td (Kept words) Tj ET"
+    lengths = bytes([len(content) - 1]) + content + b"\x80"
+    rows = b"".join(bytes([kind]) + row for kind, row in [(0, b"ab"), (1, b"c\x01"), (2, b"\x01\x01"), (3, b"\x00\x00"), (4, b"\x00\x01")])
+    for name, raw in [(b"/ASCII85Decode", base64.a85encode(content) + b"~>"), (b"/ASCIIHexDecode", content.hex().encode() + b">"), (b"/RunLengthDecode", lengths), (b"/LZWDecode", lzw(content)), (b"[/ASCIIHexDecode /FlateDecode]", zlib.compress(content).hex().encode() + b">")]:
+        assert pdf.text(one_page(raw, head=b"/Filter " + name)) == "Kept words", name
+    assert pdf.unpredicted(rows, {"Predictor": 15, "Columns": 2}) == b"ab" + b"cd" + b"de" + b"2K" + b"2L"
+    assert pdf.unpredicted(bytes([1, 2, 3, 10, 1, 1]), {"Predictor": 2, "Columns": 3}) == bytes([1, 3, 6, 10, 11, 12])
+
+
+def test_streams_are_not_cut(monkeypatch):
+    import zlib
+
+    monkeypatch.setattr(pdf, "LARGEST_STREAM", 1000)
+    with pytest.raises(ValueError, match="larger than"):
+        pdf.text(one_page(zlib.compress(b" " * 5000), head=b"/Filter /FlateDecode"))
+
+
+def seeing():
+    """A recogniser of one word and a renderer, made here so that workers get them by value."""
+
+    def recogniser(image):
+        return [{"text": "seen", "x0": 100.0, "y0": 50.0, "x1": 180.0, "y1": 80.0, "confidence": 0.8}, {"text": " ", "x0": 0.0, "y0": 0.0, "x1": 1.0, "y1": 1.0, "confidence": 0.5}] if image.startswith(b"png") else []
+
+    return recogniser, lambda data, page, dpi, box: b"png%r" % (box,)
+
+
+def test_pages_without_text_are_recognised(spark):
+    from pagemill.plans.extract import extract
+    from pagemill.sources.pages import Tools
+    from pagemill.sources.reader import pdf_layout
+
+    tools = Tools(*seeing(), dpi=144)
+    files = spark.createDataFrame([("empty", "a.pdf", one_page(b"")), ("text", "b.pdf", one_page(b"BT /F 10 Tf 50 200 Td (Own words) Tj ET")), ("bad", "c.pdf", b"%PDF-1.4 nothing"), ("none", "d.pdf", None)], "path string, name string, content binary")
+    got = {r.path: r for r in pdf_layout(files, tools=tools).collect()}
+    w = got["empty"].words[0]
+    assert set(got) == {"empty", "text", "bad"} and got["bad"].error
+    assert (w.text, w.x0, w.y0, w.x1, w.y1, w.confidence) == ("seen", 50, 260, 90, 275, 0.8)
+    assert [x.text for x in got["text"].words] == ["Own", "words"]
+    assert pdf_layout(files).where("path = 'empty'").first().words == []
+    texts = {r.path: r.text for r in extract(files, tools=tools).collect()}
+    assert texts["empty"].startswith("seen") and texts["text"] == "Own words"
+
+
+def test_pictures_are_recognised_where_asked():
+    from pagemill.sources.pages import Tools, read_pages
+
+    image = stream(b"x", b"/Type /XObject /Subtype /Image /Width 1 /Height 1")
+    content = b"BT /F 10 Tf 50 200 Td (Own) Tj ET q 200 0 0 100 100 100 cm /I Do Q q 10 0 0 10 0 0 cm /I Do Q"
+    data = document([b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Kids [3 0 R] /Count 1 >>", b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 400 300] /Contents 4 0 R /Resources << /XObject << /I 5 0 R >> >> >>", stream(content), image])
+    boxes = []
+
+    def render(data, page, dpi, box):
+        boxes.append(box)
+        return b"png"
+
+    ((_, plain),) = read_pages(data, tools=Tools(seeing()[0], render, dpi=144))
+    ((_, page),) = read_pages(data, tools=Tools(seeing()[0], render, dpi=144, figures=True))
+    assert [w["text"] for w in plain.words] == ["Own"] and [w["text"] for w in page.words] == ["Own", "seen"]
+    assert boxes == [(200, 200, 601, 401)]
+    assert (page.words[1]["x0"], page.words[1]["y1"]) == (150, 300 - (50 + 200) / 2)
+
+
+def test_recognised_words_on_native_ones_go():
+    from pagemill.sources.pages import covered
+
+    box = lambda x0, x1: {"x0": x0, "y0": 0.0, "x1": x1, "y1": 10.0}
+    assert covered(box(0, 10), [box(5, 20)]) and not covered(box(0, 10), [box(5.1, 20)]) and covered(box(0, 10), [box(0, 3), box(7, 10)]) and not covered(box(5, 5), [box(0, 10)])
+
+
+def test_office_route():
+    from pagemill.plans.extract import office_text
+    from pagemill.sources.pages import Tools
+    from pagemill.sources.recognise import NoConverter
+
+    package = b.docx(b.paragraph("Para"))
+    converted = one_page(b"BT /F 10 Tf 50 200 Td (Printed) Tj ET")
+    via = Tools(converter=lambda data, name: converted, native_office=False)
+    assert office_text(b"old", "doc", "a.doc", via) == "Printed"
+    with pytest.raises(NoConverter):
+        office_text(b"old", "doc", "a.doc", Tools())
+    assert office_text(package, "docx", "a.docx", via) == "Printed"
+    assert office_text(package, "docx", "a.docx", Tools(native_office=False)) == office_text(package, "docx", "a.docx", Tools())
+
+
+def test_a_file_may_take_so_long(spark):
+    import time as clock
+
+    from pagemill.plans.extract import extract
+
+    def slow(data, budget):
+        clock.sleep(20)
+        yield
+
+    files = spark.createDataFrame([("a", "a.txt", b"some text"), ("b", "b.zip", b"PK\x05\x06" + bytes(18))], "path string, name string, content binary")
+    began = clock.time()
+    got = {r.path: r for r in extract(files, readers={"txt": slow}, timeout=0.5).collect()}
+    assert "took longer" in got["a"].error and got["b"].error is None and clock.time() - began < 15
+
+
+def test_service_gets_a_form():
+    import http.server
+    import json
+    import threading
+
+    from pagemill.sources import recognise
+
+    seen = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.headers["Content-Type"], self.rfile.read(int(self.headers["Content-Length"]))))
+            body = json.dumps({"results": [{"text": "word", "bbox": [30, 40, 10, 20], "confidence": 0.5}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    assert recognise.http(url, "de")(b"PNG") == [{"text": "word", "x0": 10, "y0": 20, "x1": 30, "y1": 40, "confidence": 0.5}]
+    recognise.http(url, plain=True)(b"PNG")
+    server.shutdown()
+    assert seen[0][0].startswith("multipart/form-data") and b'name="language"\r\n\r\nde\r\n' in seen[0][1] and b'name="file"' in seen[0][1]
+    assert seen[1] == ("image/png", b"PNG")
+
+
+def test_image_sizes():
+    import struct
+
+    from pagemill.sources.recognise import image_size
+
+    tiff = b"II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHII", 256, 4, 1, 640) + struct.pack("<HHIHH", 257, 3, 1, 480, 0)
+    big = b"MM\0*" + struct.pack(">IH", 8, 2) + struct.pack(">HHIHH", 256, 3, 1, 300, 0) + struct.pack(">HHII", 257, 4, 1, 200)
+    assert image_size(tiff) == (640, 480) and image_size(big) == (300, 200)
+    webp = b"RIFF" + bytes(4) + b"WEBPVP8X" + bytes(8) + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")
+    assert image_size(webp) == (100, 50)
+    assert image_size(b"RIFF" + bytes(4) + b"WEBPVP8L" + bytes(4) + b"\x2f" + (199 | 99 << 14).to_bytes(4, "little") + bytes(8)) == (200, 100)
