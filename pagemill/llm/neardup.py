@@ -14,13 +14,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.session import cut, ship, spread
 
-#: Cells of the sketch of document frequencies; its size is fixed whatever the data.
-CELLS = 1 << 17
 #: Entries of the table from which the samplers draw their random numbers.
 DRAWS = 1 << 16
 #: The probability with which the bands may miss a pair that is left to them.
@@ -89,7 +86,7 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5,
     instead, of which any two sets alike enough share one, so no link is lost. With a
     threshold below that reach all pairs do, and nothing is signed. Above it, classes
     do of which a weighted similarity below the reach is possible, and those in
-    buckets that may hold more than ``crowd`` classes, which are not joined.
+    buckets of more than ``crowd`` classes, which are not joined.
     """
     spark = records.sparkSession
     ship(spark)
@@ -97,7 +94,8 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5,
     sets = cut(shingle_rows(records, words, least).select("tab", "id", "shingles", F.xxhash64("shingles").alias("k1"), F.xxhash64(F.lit(1), F.reverse("shingles")).alias("k2")))
     least_id = sets.groupBy("tab", "k1", "k2").agg(F.min("id").alias("class_id"))
     members = sets.select("tab", "id", "k1", "k2").join(least_id, ["tab", "k1", "k2"]).select("tab", "id", "class_id")
-    classes = cut(sets.join(least_id.select("tab", F.col("class_id").alias("id")), ["tab", "id"], "left_semi").select("tab", F.col("id").alias("class_id"), "shingles", F.size(F.array_distinct("shingles")).alias("n")))
+    one = sets.join(least_id.select("tab", F.col("class_id").alias("id")), ["tab", "id"], "left_semi").select("tab", F.col("id").alias("class_id"), F.array_distinct("shingles").alias("shingles"))
+    classes = cut(with_frequencies(one))
     reach = (1 - MISS ** (1 / bands)) ** (1 / rows)
     pairs = _by_rare_shingles(classes, threshold) if threshold < reach else _by_bands(classes, threshold, rows, bands, crowd, reach)
     pairs = pairs.distinct()
@@ -108,30 +106,38 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5,
     return members.select("tab", F.col("id").alias("rec_id"), "class_id"), links
 
 
+def with_frequencies(classes: DataFrame) -> DataFrame:
+    """(tab, class_id, n, shingles, df): the distinct shingles of each class with the number of classes each is in, rarest first.
+
+    Frequencies are counted before the shuffle and joined back, so that a shingle
+    of a third of all classes is no task's burden by itself: its rows are a skewed
+    side of a join, which is split.
+    """
+    each = classes.select("tab", "class_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    df = each.groupBy("tab", "s").agg(F.count("*").alias("df")).where("df > 1")
+    counted = each.join(df, ["tab", "s"], "left").withColumn("df", F.coalesce("df", F.lit(1)).cast("int"))
+    rows = counted.groupBy("tab", "class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))  # as large as one record
+    return rows.select("tab", "class_id", "n", F.col("o.s").alias("shingles"), F.col("o.df").alias("df"))
+
+
 def _by_bands(classes: DataFrame, threshold: float, rows: int, bands: int, crowd: int, reach: float) -> DataFrame:
     """(tab, class_a, class_b) of the pairs that share a band, and of all that can be alike where bands may miss one."""
-    spark = classes.sparkSession
-    # Document frequencies over the classes, in a sketch of fixed size: copies do not make a shingle common.
-    cells = classes.select(F.explode(F.array_distinct(F.transform("shingles", lambda x: x.bitwiseAND(CELLS - 1)))).alias("cell")).groupBy("cell").agg(F.count("*").alias("df")).toArrow()
     total = classes.count()
-    df = np.ones(CELLS, np.float32)
-    df[cells["cell"].to_numpy()] = cells["df"].to_numpy()
-    log_idf = spark.sparkContext.broadcast(np.log(np.log1p(max(total, 1) / df)).astype(np.float32))
     heaviest = float(np.log1p(max(total, 1)))
     count = rows * bands
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler, idf = Sampler(count), log_idf.value
+        sampler = Sampler(count)
         mix = np.random.default_rng(3).integers(1, 1 << 62, rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         number = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for b in batches:
             keys, least = [], []
-            for s in b.shingles:
-                distinct = np.unique(np.asarray(s, np.int64))
-                log_weight = idf[distinct & (CELLS - 1)]
-                best, level = sampler(distinct.view(np.uint64), log_weight)
-                least.append(least_weighted(np.exp(log_weight.astype(float)), heaviest, threshold))
-                h = distinct.view(np.uint64)[best] ^ (level.astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            for s, df in zip(b.shingles, b.df, strict=True):
+                shingles = np.asarray(s, np.int64).view(np.uint64)
+                weight = np.log1p(max(total, 1) / np.asarray(df, float))  # IDF over classes: copies do not make a shingle common
+                best, level = sampler(shingles, np.log(weight).astype(np.float32))
+                least.append(least_weighted(weight, heaviest, threshold))
+                h = shingles[best] ^ (level.astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
                 h = (h * np.uint64(0xFF51AFD7ED558CCD)).reshape(bands, rows)
                 h ^= h >> np.uint64(29)
                 key = (h * mix).sum(1, dtype=np.uint64) + number
@@ -143,17 +149,13 @@ def _by_bands(classes: DataFrame, threshold: float, rows: int, bands: int, crowd
     # Read back by both sides of the join, so that each class is signed once.
     signed = cut(spread(classes, "class_id").mapInPandas(sign, f"tab {kind['tab']}, class_id {kind['class_id']}, n int, least double, keys array<bigint>"))
     banded = signed.select("tab", "class_id", "n", F.explode("keys").alias("band"))
-    # A sketch of bucket sizes: no bucket is larger than its cell says.
-    load = banded.groupBy(F.col("band").bitwiseAND(CELLS - 1).alias("cell")).agg(F.count("*").alias("load"))
-    full = cut(load.where(F.col("load") > max(crowd, 8 * bands * total // CELLS)))
+    # Buckets of one class, which are nearly all, and those of more than ``crowd`` do not go into the join.
+    shared = cut(banded.groupBy("tab", "band").agg(F.count("*").alias("members")).where("members > 1"))
+    crowded = banded.join(shared.where(F.col("members") > crowd), ["tab", "band"], "left_semi").select("tab", "class_id")
     # Two classes meet in the bands unless both are among these.
-    beyond = signed.where(F.col("least") < reach).select("tab", "class_id")
-    if not full.isEmpty():
-        celled = banded.withColumn("cell", F.col("band").bitwiseAND(CELLS - 1))
-        beyond = beyond.unionByName(celled.join(F.broadcast(full), "cell", "left_semi").select("tab", "class_id"))  # full has CELLS rows at most
-        banded = celled.join(F.broadcast(full), "cell", "left_anti").drop("cell")
+    beyond = signed.where(F.col("least") < reach).select("tab", "class_id").unionByName(crowded)
+    banded = banded.join(shared.where(F.col("members") <= crowd).select("tab", "band"), ["tab", "band"], "left_semi")
     # Of two classes, one may be so much smaller that they cannot be alike.
-    banded = banded.repartition("tab", "band")
     a, b = banded.select("tab", "band", F.col("class_id").alias("class_a"), F.col("n").alias("n_a")), banded.select("tab", "band", F.col("class_id").alias("class_b"), F.col("n").alias("n_b"))
     pairs = a.join(b, ["tab", "band"]).where(_ordered(threshold)).select("tab", "class_a", "class_b")
     return pairs.unionByName(_by_rare_shingles(classes.join(beyond.distinct(), ["tab", "class_id"], "left_semi"), threshold))
@@ -182,15 +184,12 @@ def _by_rare_shingles(classes: DataFrame, threshold: float) -> DataFrame:
 
     In one order for all, rarest first, two sets that are alike share one of the
     n - ceil(threshold * n) + 1 first shingles of each, and after the first that they
-    share enough others must be left in both. Shingles of one class alone are
-    left out of the join but keep their places, which are the first.
+    share enough others must be left in both. Shingles of one class alone keep
+    their places, which are the first, but are left out of the join.
     """
-    each = classes.select("tab", "class_id", "n", F.explode(F.array_distinct("shingles")).alias("s"))
-    shared = each.withColumn("df", F.count("*").over(W.partitionBy("tab", "s"))).where("df > 1")
-    ordered = shared.groupBy("tab", "class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))  # as large as one record
-    kept = F.slice("o", F.lit(1), F.greatest(F.size("o") - F.ceil(F.col("n") * threshold - 1e-9) + 1, F.lit(0)).cast("int"))
-    rare = ordered.select("tab", "class_id", "n", F.size("o").alias("shared"), F.posexplode(kept).alias("at", "x"))
-    rare = rare.select("tab", "class_id", "n", (F.col("shared") - F.col("at")).alias("left"), F.col("x.s").alias("s")).repartition("tab", "s")  # left: the shingle itself and those after it
+    first = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
+    kept = F.filter(F.transform(F.slice("shingles", F.lit(1), first), lambda s, i: F.struct(s.alias("s"), (F.col("n") - i).alias("left"))), lambda x: F.element_at("df", F.col("n") - x["left"] + 1) > 1)
+    rare = classes.select("tab", "class_id", "n", F.inline(kept))  # left: the shingle itself and those after it
     a, b = (rare.select("tab", "s", F.col("class_id").alias(f"class_{x}"), F.col("n").alias(f"n_{x}"), F.col("left").alias(f"left_{x}")) for x in "ab")
     enough = F.least("left_a", "left_b") * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9
     return a.join(b, ["tab", "s"]).where(_ordered(threshold) & enough).select("tab", "class_a", "class_b")

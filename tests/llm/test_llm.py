@@ -514,3 +514,25 @@ def test_the_pivot_skips_passages_of_common_words():
     index._sums = None  # no bound is looked up
     flat = np.array([index.vocabulary[f"common{k % 10}"] for k in range(32)], np.int32)
     assert len(index.candidates(flat, np.array([0]), np.array([32]))[0]) == 0
+
+
+@pytest.mark.parametrize("threshold,words,crowd", [(0.5, 3, 5000), (0.8, 3, 5000), (0.8, 3, 4)])
+def test_duplicates_among_words_of_very_unequal_frequency(spark, threshold, words, crowd):
+    """Against brute force: texts of Zipf-distributed words, edited copies of which a common opening is the larger part."""
+    r = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    weights = list(itertools.accumulate(1 / (k + 1) for k in range(len(vocabulary))))
+    draw = lambda n: r.choices(vocabulary, cum_weights=weights, k=n)
+    opening = [f"o{k}" for k in range(40)]
+    texts = {}
+    for k in range(0, 400, 4):
+        base = draw(r.randint(20, 70))
+        texts[k] = base
+        texts[k + 1] = base[: len(base) // 2] + draw(r.randint(1, 9)) + base[len(base) // 2 :]
+        texts[k + 2] = opening + draw(r.randint(2, 40))
+        texts[k + 3] = base if k % 8 else draw(30)
+    rows = spark.createDataFrame([("t", k, " ".join(v)) for k, v in texts.items()], "tab string, rec_id bigint, text string")
+    shingles = {k: {tuple(v[i : i + words]) for i in range(len(v) - words + 1)} for k, v in texts.items()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(texts), 2) if len(shingles[a] & shingles[b]) >= threshold * len(shingles[a] | shingles[b])}
+    got = neardup.duplicate_pairs(*neardup.near_duplicates(rows, threshold=threshold, words=words, crowd=crowd))
+    assert len(want) > 50 and {(x.id_a, x.id_b) for x in got.collect()} == want
