@@ -95,7 +95,7 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5,
     least_id = sets.groupBy("tab", "k1", "k2").agg(F.min("id").alias("class_id"))
     members = sets.select("tab", "id", "k1", "k2").join(least_id, ["tab", "k1", "k2"]).select("tab", "id", "class_id")
     one = sets.join(least_id.select("tab", F.col("class_id").alias("id")), ["tab", "id"], "left_semi").select("tab", F.col("id").alias("class_id"), F.array_distinct("shingles").alias("shingles"))
-    classes = cut(with_frequencies(one))
+    classes = cut(one.withColumn("n", F.size("shingles")))
     reach = (1 - MISS ** (1 / bands)) ** (1 / rows)
     pairs = _by_rare_shingles(classes, threshold) if threshold < reach else _by_bands(classes, threshold, rows, bands, crowd, reach)
     pairs = pairs.distinct()
@@ -106,16 +106,16 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5,
     return members.select("tab", F.col("id").alias("rec_id"), "class_id"), links
 
 
-def with_frequencies(classes: DataFrame) -> DataFrame:
-    """(tab, class_id, n, shingles, df): the distinct shingles of each class with the number of classes each is in, rarest first.
+def with_frequencies(classes: DataFrame, shared: bool = False) -> DataFrame:
+    """(tab, class_id, n, shingles, df): the shingles of each class with the number of classes each is in, rarest first; with ``shared`` only those of two classes or more.
 
     Frequencies are counted before the shuffle and joined back, so that a shingle
     of a third of all classes is no task's burden by itself: its rows are a skewed
     side of a join, which is split.
     """
-    each = classes.select("tab", "class_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    df = each.groupBy("tab", "s").agg(F.count("*").alias("df")).where("df > 1")
-    counted = each.join(df, ["tab", "s"], "left").withColumn("df", F.coalesce("df", F.lit(1)).cast("int"))
+    each = classes.select("tab", "class_id", "n", F.explode("shingles").alias("s"))
+    df = each.groupBy("tab", "s").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    counted = each.join(df, ["tab", "s"]) if shared else each.join(df, ["tab", "s"], "left").withColumn("df", F.coalesce("df", F.lit(1)))
     rows = counted.groupBy("tab", "class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("o"))  # as large as one record
     return rows.select("tab", "class_id", "n", F.col("o.s").alias("shingles"), F.col("o.df").alias("df"))
 
@@ -147,7 +147,7 @@ def _by_bands(classes: DataFrame, threshold: float, rows: int, bands: int, crowd
 
     kind = dict(classes.dtypes)
     # Read back by both sides of the join, so that each class is signed once.
-    signed = cut(spread(classes, "class_id").mapInPandas(sign, f"tab {kind['tab']}, class_id {kind['class_id']}, n int, least double, keys array<bigint>"))
+    signed = cut(spread(with_frequencies(classes), "class_id").mapInPandas(sign, f"tab {kind['tab']}, class_id {kind['class_id']}, n int, least double, keys array<bigint>"))
     banded = signed.select("tab", "class_id", "n", F.explode("keys").alias("band"))
     # Buckets of one class, which are nearly all, and those of more than ``crowd`` do not go into the join.
     shared = cut(banded.groupBy("tab", "band").agg(F.count("*").alias("members")).where("members > 1"))
@@ -187,9 +187,10 @@ def _by_rare_shingles(classes: DataFrame, threshold: float) -> DataFrame:
     share enough others must be left in both. Shingles of one class alone keep
     their places, which are the first, but are left out of the join.
     """
-    first = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    kept = F.filter(F.transform(F.slice("shingles", F.lit(1), first), lambda s, i: F.struct(s.alias("s"), (F.col("n") - i).alias("left"))), lambda x: F.element_at("df", F.col("n") - x["left"] + 1) > 1)
-    rare = classes.select("tab", "class_id", "n", F.inline(kept))  # left: the shingle itself and those after it
+    ordered = with_frequencies(classes, shared=True).withColumn("shared", F.size("shingles"))
+    first = F.col("shared") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
+    rare = ordered.select("tab", "class_id", "n", "shared", F.posexplode(F.slice("shingles", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "s"))
+    rare = rare.select("tab", "class_id", "n", (F.col("shared") - F.col("at")).alias("left"), "s")  # left: the shingle itself and those after it
     a, b = (rare.select("tab", "s", F.col("class_id").alias(f"class_{x}"), F.col("n").alias(f"n_{x}"), F.col("left").alias(f"left_{x}")) for x in "ab")
     enough = F.least("left_a", "left_b") * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9
     return a.join(b, ["tab", "s"]).where(_ordered(threshold) & enough).select("tab", "class_a", "class_b")
