@@ -71,7 +71,7 @@ def corrections(known: DataFrame, frequent: int = 5, ratio: int = 8) -> DataFram
     without native pages, four times as often). Of several the one with the fewest
     confusions, then the commonest, then the first in order holds.
     """
-    texts = known.where(F.col("w").rlike(r"[\p{IsLatin}@+|(]") & (F.length("w") < 60))
+    texts = known.where(F.col("w").rlike(r"[\p{IsLatin}@+|(]"))
     sure = F.col("n") >= 4 * frequent if known.where("native > 0").isEmpty() else F.col("native") > 0
     often = texts.where((F.col("n") >= frequent) & F.col("w").rlike(r"^[\p{IsLatin}\p{M}'’-]+$") & sure).select(F.col("w").alias("right"), F.col("n").alias("right_n"), F.col("native").alias("right_native"), anagram(F.col("w")).alias("h"))
     step = "struct<d:bigint,cost:int>"
@@ -95,7 +95,22 @@ def corrections(known: DataFrame, frequent: int = 5, ratio: int = 8) -> DataFram
 NUMBER = r"^[#§(]?(?=.*[0-9])(?=.*[OoIl|S])[0-9OoIl|S]+(?:[.,:/-][0-9OoIl|S]+)*[%.,;:!?)`]*$"
 CODE = r"^[A-Z]{1,2}-?[A-Z]?[0-9OIl|]*[0-9][OIl|][0-9OIl|]*[.,;:!?]*$|^[A-Z]{1,2}-?[A-Z]?-?[OIl|][0-9]{2,}[.,;:!?]*$"
 INSIDE = r"\p{Ll}[@+|0-9(]\p{Ll}|^[\"'`(]?[+|]\p{Ll}{2,}"
-NOT_INSIDE = r"@[\w-]+[.(\[]|\(at\)|\(dot\)|@[0-9]x|^[0-9a-f]{8,}\W*$|\+scan|https?:|\(\)|\.(?:png|pdf|tiff?|jpe?g|docx?|eml|xlsx?|csv|txt)\b|[a-z][0-9]x\b"
+#: What has signs within a word by itself: addresses of mails and the web, with tags or written out, file names, calls, hexadecimal numbers, factors.
+NOT_INSIDE = r"@[\w-]+[.(\[]|\((?:at|dot)\)|\+\w+(?:@|\()|https?:|\(\)|\.[a-z]{2,4}\b|^[0-9a-f]{8,}\W*$|[a-z@][0-9]x\b"
+#: What a sign within a word was, among those of CONFUSIONS the likeliest.
+SIGNS = {"@": "a", "+": "t", "(": "c", "0": "o", "1": "l", "2": "z", "5": "s", "6": "b", "7": "t", "8": "b", "9": "g", "|": "l"}
+
+
+def reshaped(text: Column | str) -> Column:
+    """The text of a word of an impossible shape with each misread character set right by the characters beside it: letters among digits become digits, signs and digits among letters become letters."""
+    c = F.col(text) if isinstance(text, str) else text
+    digits = F.translate(c, "OoIl|S", "001115")
+    prefix = F.regexp_extract(c, r"^([A-Z]{1,2}-?[A-HJ-NP-Z]?-?(?=[0-9OIl|]))", 1)
+    code = F.concat(prefix, F.translate(F.substring(c, F.length(prefix) + 1, F.length(c)), "OIl|", "0111"))
+    inside = F.regexp_replace(F.regexp_replace(c, r"^([\"'`(]?)\+(?=\p{Ll})", "$1t"), r"^([\"'`(]?)\|(?=\p{Ll})", "$1I")
+    for sign, letter in SIGNS.items():
+        inside = F.regexp_replace(inside, rf"(?<=\p{{Ll}})[{sign}](?=\p{{Ll}})", letter)
+    return F.when(c == "@", "a").when(c.rlike(NUMBER), digits).when(c.rlike(CODE), code).otherwise(inside)
 
 
 def scanned_words(words: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
@@ -141,7 +156,7 @@ PAGE_HEIGHT = 792.0
 
 
 def damaged_words(words: DataFrame, broadcast_rows: int = 500_000, sizes: DataFrame | None = None) -> DataFrame:
-    """scanned_words() with broken (null, 'head' or 'tail'), joined (head and tail as one word), right (the corrected text, or null), misread and running.
+    """scanned_words() with broken (null, 'head' or 'tail'), joined (head and tail as one word), right (the core's correction by the collection, or null), shaped (where that is null and the word has an impossible shape: the word by its own characters), misread and running.
 
     The corrections are shipped to all executors only while there are at most
     ``broadcast_rows``; beyond that both sides are shuffled.
@@ -161,7 +176,7 @@ def damaged_words(words: DataFrame, broadcast_rows: int = 500_000, sizes: DataFr
     return rows.select(
         "word_id", "doc_id", "page", "text", "line", "x0", "core", "running",
         F.when(goes_on & ~soft, F.lit("head")).when(ended & ~F.col("before").rlike("­$"), F.lit("tail")).alias("broken"),
-        F.when(goes_on & ~soft, F.col("after")).alias("tail"), "right", (F.col("right").isNotNull() | odd).alias("misread"),
+        F.when(goes_on & ~soft, F.col("after")).alias("tail"), "right", F.when(F.col("right").isNull() & odd, reshaped("text")).alias("shaped"), (F.col("right").isNotNull() | odd).alias("misread"),
     )
 
 
@@ -207,7 +222,8 @@ def repaired_paragraphs(words: DataFrame, blocks: DataFrame, sizes: DataFrame |
     capital = F.substring(F.regexp_replace("text", r"^[\s\"'`“‘«„(\[{]+", ""), 1, 1)
     right = F.when(capital == F.upper(capital), F.when(F.lower(capital) != capital, F.concat(F.upper(F.substring("right", 1, 1)), F.expr("substring(right, 2)"))).otherwise(F.col("right"))).otherwise(F.col("right"))
     fixed = rows.where("right is not null").select("doc_id", "page", F.col("text").alias("k"), F.concat(marks[0], right, marks[1]).alias("v"))
-    per_page = healed.unionByName(fixed).groupBy("doc_id", "page").agg(F.collect_set(F.struct("k", "v")).alias("kv"))
+    shaped = rows.where("shaped <> text").select("doc_id", "page", F.col("text").alias("k"), F.col("shaped").alias("v"))
+    per_page = healed.unionByName(fixed).unionByName(shaped).groupBy("doc_id", "page").agg(F.collect_set(F.struct("k", "v")).alias("kv"))
     lines = rows.where("running").groupBy("doc_id", "page", "line").agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("l")).groupBy("doc_id", "page").agg(F.collect_set(F.array_join(F.transform("l", lambda x: x["text"]), " ")).alias("lines"))
     text = blocks.where("text is not null").select("doc_id", "page", "block_no", "kind", "text").distinct().join(scanned_pages(words), ["doc_id", "page"], "left_semi").join(per_page, ["doc_id", "page"], "left").join(lines, ["doc_id", "page"], "left")
     kept = F.filter(F.split("text", r"\r?\n"), lambda x: ~F.coalesce(F.array_contains("lines", x), F.lit(False)))

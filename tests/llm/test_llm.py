@@ -362,7 +362,7 @@ def test_scan_repair(spark):
     hit = {r.rec_id for r in got if r.tab == "words"}
     assert hit == {r[0] for r in rows} - {r[0] for r in rows if r[4] in ("the", "order")}
     repaired = {r.block_no: r.text for r in scan_repair.repaired_paragraphs(words, blocks).collect()}
-    assert repaired == {0: "the letter arrived against the cross-page order 9O4", 2: "all fine here"}
+    assert repaired == {0: "the letter arrived against the cross-page order 904", 2: "all fine here"}
     assert scan_repair.damaged(words.limit(0), blocks).count() == 0
 
 
@@ -536,3 +536,9 @@ def test_duplicates_among_words_of_very_unequal_frequency(spark, threshold, word
     want = {(a, b) for a, b in itertools.combinations(sorted(texts), 2) if len(shingles[a] & shingles[b]) >= threshold * len(shingles[a] | shingles[b])}
     got = neardup.duplicate_pairs(*neardup.near_duplicates(rows, threshold=threshold, words=words, crowd=crowd))
     assert len(want) > 50 and {(x.id_a, x.id_b) for x in got.collect()} == want
+
+
+def test_misread_shapes_are_set_right(spark):
+    words = {"9O4": "904", "l2.S0": "12.50", "AB-1O2": "AB-102", "X-O12": "X-012", "c@t": "cat", "mee+ing": "meeting", "wi9ht": "wight", "+he": "the", "|n": "In", "@": "a", "plain": "plain"}
+    rows = spark.createDataFrame([(w,) for w in words], "text string")
+    assert {r.text: r.v for r in rows.select("text", scan_repair.reshaped("text").alias("v")).collect()} == words
