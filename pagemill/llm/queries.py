@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.llm.canonical import canonical_rows
@@ -42,6 +43,22 @@ def p3_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return p3_pieces(spark, folder).groupBy("kind").agg(F.countDistinct("block_id").alias("n_blocks"), F.max(F.length("text")).alias("longest"), F.sum(F.when(F.col("piece_no") == F.col("n_pieces"), F.col("end_at"))).alias("n_chars"))
 
 
+def p3_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """For each block that was cut: whether its pieces fit the limit, are its text at their places, begin and end with it, and overlap by what was asked."""
+    limits = table(spark, folder, "split_limits").select("kind", "max_chars", "overlap_chars")
+    whole = table(spark, folder, "blocks").where("text is not null").select("block_id", F.col("text").alias("whole")).distinct()
+    p = p3_pieces(spark, folder).where("n_pieces > 1").join(limits, "kind").join(whole, "block_id")
+    before = F.lag("end_at").over(W.partitionBy("block_id").orderBy("piece_no"))
+    p = p.withColumn("shared", before - F.col("start_at"))
+    return p.groupBy("block_id").agg(
+        F.max(F.length("whole")).cast("bigint").alias("n_chars"),
+        F.bool_and(F.length("text") <= F.col("max_chars")).alias("fits"),
+        F.bool_and(F.expr("substring(whole, start_at + 1, end_at - start_at)") == F.col("text")).alias("in_place"),
+        ((F.min("start_at") == 0) & (F.max("end_at") == F.max(F.length("whole"))) & (F.count("*") == F.max("n_pieces"))).alias("complete"),
+        F.bool_and(F.coalesce(F.col("shared") == F.col("overlap_chars"), F.col("piece_no") == 1)).alias("overlaps"),
+    )
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return damaged(table(spark, folder, "words"), table(spark, folder, "blocks"), table(spark, folder, "page_complexity"))
 
@@ -81,6 +98,15 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
 
 
+def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """For each mix and source: its documents, whether each has a row with at most max_repeats copies, copies that differ by one at most, and whether shares add up to 1 or nothing was used."""
+    copies, shares = mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    used = copies.groupBy("mix", "source").agg(F.count("*").alias("n_docs"), F.max("copies").alias("most"), F.min("copies").alias("least"))
+    total = shares.groupBy("mix").agg(F.sum("share").alias("total"))
+    rows = shares.select("mix", "source", "max_repeats").join(used, ["mix", "source"], "left").join(total, "mix")
+    return rows.select("mix", "source", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("capped"), (F.coalesce(F.col("most") - F.col("least"), F.lit(0)) <= 1).alias("even"), (F.abs(F.col("total") - 1) < 1e-9).alias("whole"))
+
+
 def p9_types(spark: SparkSession, folder: str) -> DataFrame:
     return text_types(table(spark, folder, "documents"))
 
@@ -119,8 +145,20 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     limited = "SELECT DISTINCT b.block_id, b.kind, length(b.text) AS n, l.max_chars FROM blocks b JOIN split_limits l ON b.kind = l.kind WHERE b.text IS NOT NULL"
+    records = (
+        "SELECT 'blocks' AS tab, block_id AS id, max(text) AS t FROM blocks WHERE text IS NOT NULL GROUP BY ALL UNION ALL"
+        " SELECT 'children', child_id, max(decode(data)) FROM children WHERE data IS NOT NULL AND hex(data) NOT LIKE '25504446%' AND hex(data) NOT LIKE '89504E47%' GROUP BY ALL"
+    )
     return {
         "p3_found": f"SELECT block_id FROM ({limited}) WHERE n > max_chars",
+        "p3_checks": f"SELECT block_id, n AS n_chars, true AS fits, true AS in_place, true AS complete, true AS overlaps FROM ({limited}) WHERE n > max_chars",
+        "p4_found": rf"""
+            WITH w AS (SELECT tab, id, list_filter(string_split_regex(lower(t), '[ \t\r\n]+'), lambda x: x <> '') AS w FROM ({records})),
+            g AS (SELECT DISTINCT tab, id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT tab, id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)),
+            n AS (SELECT tab, id, count(*) AS n FROM g GROUP BY ALL),
+            c AS (SELECT a.tab, a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.tab = b.tab AND a.g = b.g AND a.id < b.id GROUP BY ALL)
+            SELECT c.tab, id_a, id_b FROM c JOIN n x ON x.tab = c.tab AND x.id = id_a JOIN n y ON y.tab = c.tab AND y.id = id_b WHERE c >= 0.5 * (x.n + y.n - c)""",
+        "p8_checks": "SELECT mix, source, (SELECT count(*) FROM (SELECT DISTINCT doc_id, lower(trim(source)) AS s, text FROM documents WHERE doc_id IS NOT NULL) d WHERE d.s = m.source) AS n_docs, true AS capped, true AS even, true AS whole FROM mix_targets m",
         "p7_found": r"""
             WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
             b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),

@@ -26,7 +26,7 @@ def test_every_query_runs_on_the_smallest_tables(spark, data):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("blocks", "split_limits", "documents", "benchmark"):
+    for t in ("blocks", "children", "split_limits", "documents", "benchmark", "mix_targets"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name]).df()
     got = queries.queries()[name](spark, data).toPandas()
