@@ -14,7 +14,7 @@ from pagemill.llm.leakage import leaked_items
 from pagemill.llm.mixture import mixture
 from pagemill.llm.neardup import duplicate_groups, duplicate_pairs, near_duplicates
 from pagemill.llm.pii import item_types, personal_items
-from pagemill.llm.quality import text_types
+from pagemill.llm.quality import common_words, statistics, text_types
 from pagemill.llm.scan_repair import damaged, repaired_paragraphs
 from pagemill.llm.split import split_oversized
 from pagemill.session import table
@@ -107,6 +107,12 @@ def p8_checks(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("mix", "source", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("capped"), (F.coalesce(F.col("most") - F.col("least"), F.lit(0)) <= 1).alias("even"), (F.abs(F.col("total") - 1) < 1e-9).alias("whole"))
 
 
+def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents")
+    s = statistics(d, common_words(d))
+    return s.select("doc_id", "word_count", *(F.round(c, 6).alias(c) for c in s.columns[2:]))
+
+
 def p9_types(spark: SparkSession, folder: str) -> DataFrame:
     return text_types(table(spark, folder, "documents"))
 
@@ -159,6 +165,16 @@ def oracle_sql() -> dict[str, str]:
             c AS (SELECT a.tab, a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.tab = b.tab AND a.g = b.g AND a.id < b.id GROUP BY ALL)
             SELECT c.tab, id_a, id_b FROM c JOIN n x ON x.tab = c.tab AND x.id = id_a JOIN n y ON y.tab = c.tab AND y.id = id_b WHERE c >= 0.5 * (x.n + y.n - c)""",
         "p8_checks": "SELECT mix, source, (SELECT count(*) FROM (SELECT DISTINCT doc_id, lower(trim(source)) AS s, text FROM documents WHERE doc_id IS NOT NULL) d WHERE d.s = m.source) AS n_docs, true AS capped, true AS even, true AS whole FROM mix_targets m",
+        "p9_statistics": r"""
+            WITH l AS (SELECT regexp_extract(lower(trim(coalesce(lang, ''))), '^([a-z]{2})', 1) AS lang, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{M}]+')) AS ws FROM documents WHERE text IS NOT NULL),
+            c AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(ws) AS w FROM l) GROUP BY ALL HAVING count(*) >= 3),
+            common AS (SELECT list(DISTINCT w) AS ws FROM (SELECT w, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS r FROM c) WHERE r <= 60),
+            d AS (SELECT doc_id, max(text) AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY ALL),
+            s AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+(?:[''’][\p{L}]+)*') AS w, list_filter(string_split_regex(text, '\r?\n'), lambda x: regexp_matches(x, '\S')) AS l, length(regexp_replace(text, '\s', '', 'g')) AS n,
+                len(regexp_extract_all(text, '[^\p{L}\p{M}\p{N}\s]')) AS symbols, len(regexp_extract_all(text, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]')) AS dense FROM d)
+            SELECT doc_id, CASE WHEN n > 0 THEN len(w) + dense // 2 ELSE 0 END AS word_count, CASE WHEN n > 0 AND len(w) > 0 THEN round(list_sum(list_transform(w, lambda x: length(x)))::DOUBLE / len(w), 6) END AS mean_word_length,
+                CASE WHEN n > 0 THEN round(symbols::DOUBLE / n, 6) END AS symbol_ratio, CASE WHEN n > 0 THEN round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?…。！？:;]["''”’»)\]*_`]*\s*$')))::DOUBLE / len(l), 6) END AS punctuated_line_share,
+                CASE WHEN n > 0 AND len(w) > 0 THEN round(len(list_filter(w, lambda x: list_contains(ws, x)))::DOUBLE / len(w), 6) END AS common_word_share FROM s, common""",
         "p7_found": r"""
             WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
             b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE text IS NOT NULL),
