@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.session import cut, ship
+from pagemill.session import cut, ship, spread
 
 # Encodings (fixed values): UTF-8 read by one byte or several, and pairs of one-byte encodings.
 NARROW = ["cp1252", "latin-1", "mac-roman", "cp437", "cp850", "cp1251", "koi8-r", "cp866", "cp1250", "iso8859-2", "iso8859-15", "cp1253", "cp737"]
@@ -157,7 +157,7 @@ def proven(text: str) -> tuple[bool, str | None]:
         out = "".join(parts) + out[last:]
     if not hit:  # scripts whose many characters the automaton leaves out: a run that is valid UTF-8 when read back
         for m in RUN.finditer(text):
-            for read in NARROW[:4]:
+            for read in NARROW:
                 try:
                     meant = m[0].encode(read).decode("utf-8")
                 except UnicodeError:
@@ -255,14 +255,15 @@ def garbled_words(words: DataFrame, key: str = "word_id", established: int = 3,
     kind = "certain boolean, restored string, guesses array<struct<meant:string,core:string,own:string>>"
     distinct = suspects.groupBy("text").agg(F.count("*").alias("n"))
     # Read back from a checkpoint by the three steps that follow, so that each text is examined once.
-    examined = cut(distinct.select("text", F.pandas_udf(lambda s: examine(s), kind)("text").alias("x")).select("text", "x.*"))
+    examined = cut(spread(distinct, "text").select("text", F.pandas_udf(lambda s: examine(s), kind)("text").alias("x")).select("text", "x.*"))
     certain = examined.where("certain").select("text", "restored")
     doubtful = examined.where("size(guesses) > 0").select("text", F.explode("guesses").alias("g")).select("text", "g.*")
     # How often the cores occur: only the words asked for are counted.
     asked = doubtful.select(F.explode(F.array("core", "own")).alias("w")).distinct()
     bare = F.lower(F.btrim("text", F.lit(ASCII_MARKS)))
     asked = F.broadcast(asked) if asked.count() <= broadcast_rows else asked
-    known = words.where("text is not null").select(bare.alias("w")).join(asked, "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
+    counted = words.where("text is not null").groupBy("text").agg(F.count("*").alias("n"))  # before any join, so that a common word is one row
+    known = counted.select(bare.alias("w"), "n").join(asked, "w", "left_semi").groupBy("w").agg(F.sum("n").alias("n"))
     judged = (
         doubtful.join(known.select(F.col("w").alias("core"), F.col("n").alias("meant_n")), "core")
         .join(known.select(F.col("w").alias("own"), F.col("n").alias("own_n")), "own", "left")
