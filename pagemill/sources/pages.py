@@ -76,8 +76,12 @@ def read_page(file: pdf.File, node: dict, index: int, tools: Tools | None = None
     return page
 
 
-def read_pages(data: bytes, pages: str = "", most: int | None = None, password: str = "", tools: Tools | None = None) -> Iterator[tuple[int, pdf.Page]]:
+def read_pages(data: bytes, pages: str = "", most: int | None = None, password: str = "", tools: Tools | None = None, granularity: str = "word") -> Iterator[tuple[int, pdf.Page]]:
+    """The selected pages with their numbers; with the granularity "line" the words of a line are one."""
     file = pdf.File(data, password)
     nodes = file.pages()
     for p in pages_selected(pages, len(nodes), most):
-        yield p, read_page(file, nodes[p], p, tools)
+        page = read_page(file, nodes[p], p, tools)
+        if granularity == "line":
+            page.words = pdf.lines_of(page.words)
+        yield p, page

@@ -419,6 +419,7 @@ class Font:
         self.meaning, sizes = unicode_map(stream.data()) if isinstance(stream, Stream) else ({}, set())
         self.size = 2 if self.composite and sizes != {1} else 1
         self.widths: dict[int, float] = {}
+        self.known: dict[int, tuple[str, float, bool]] = {}
         self.usual = None
         if self.composite:
             below = get((get(head.get("DescendantFonts")) or [None])[0])
@@ -454,18 +455,27 @@ class Font:
 
     def read(self, data: bytes) -> Iterator[tuple[str, float, bool]]:
         """Text, width, and whether the word gap follows, of each code."""
-        for at in range(0, len(data) - self.size + 1, self.size):
-            code = int.from_bytes(data[at : at + self.size], "big")
-            width = self.widths.get(code, self.usual)
-            if width is None:
-                width = HELVETICA[code - 32] if not self.widths and 32 <= code < 127 else 556
-            if code in self.meaning:
-                text = self.meaning[code]
-            elif self.composite:
-                text = "\ufffd"
-            else:
-                text = self.differences.get(code) or bytes([code]).decode(self.codec, "replace")
-            yield text, width / 1000, self.size == 1 and code == 32
+        known = self.known
+        if self.size == 1:
+            codes: list[int] | bytes = data
+        else:
+            codes = [int.from_bytes(data[at : at + 2], "big") for at in range(0, len(data) - 1, 2)]
+        for code in codes:
+            if code not in known:
+                known[code] = self._look(code)
+            yield known[code]
+
+    def _look(self, code: int) -> tuple[str, float, bool]:
+        width = self.widths.get(code, self.usual)
+        if width is None:
+            width = HELVETICA[code - 32] if not self.widths and 32 <= code < 127 else 556
+        if code in self.meaning:
+            text = self.meaning[code]
+        elif self.composite:
+            text = "\ufffd"
+        else:
+            text = self.differences.get(code) or bytes([code]).decode(self.codec, "replace")
+        return text, width / 1000, self.size == 1 and code == 32
 
 
 class _Painter:
@@ -483,13 +493,17 @@ class _Painter:
 
         def show(s: bytes) -> None:
             nonlocal text
-            for c, w, gap in (font or plain).read(s):
-                m = _times(text, ctm)
-                x = [m[0] * px + m[2] * py + m[4] for px, py in ((0, rise - 0.2 * size), (w * size * scale, rise + 0.8 * size))]
-                y = [m[1] * px + m[3] * py + m[5] for px, py in ((0, rise - 0.2 * size), (w * size * scale, rise + 0.8 * size))]
-                tall = size * (m[2] ** 2 + m[3] ** 2) ** 0.5
-                self.chars.append((c, min(x), min(y), max(x), max(y), tall))
-                text = _times([1, 0, 0, 1, (w * size + spacing + (word_gap if gap else 0)) * scale, 0], text)
+            a, b, c, d, e, f = text
+            m0, m1, m2, m3, m4, m5 = _times(text, ctm)
+            tall = size * (m2 * m2 + m3 * m3) ** 0.5
+            low, high, at, keep = rise - 0.2 * size, rise + 0.8 * size, 0.0, self.chars.append
+            for char, w, gap in (font or plain).read(s):
+                end = at + w * size * scale
+                xs = m0 * at + m2 * low + m4, m0 * end + m2 * high + m4
+                ys = m1 * at + m3 * low + m5, m1 * end + m3 * high + m5
+                keep((char, min(xs), min(ys), max(xs), max(ys), tall))
+                at = end + (spacing + (word_gap if gap else 0)) * scale
+            text = [a, b, c, d, a * at + e, b * at + f]
 
         for v, _ in parse(data):
             if not isinstance(v, Operator):
@@ -555,6 +569,18 @@ def words_of(chars: list[tuple]) -> list[dict]:
     return out
 
 
+def lines_of(words: list[dict]) -> list[dict]:
+    """Words that follow one another on a line as one, with spaces between them."""
+    out: list[dict] = []
+    for w in words:
+        last = out[-1] if out else None
+        if last is not None and abs(last["y0"] - w["y0"]) < 0.5 * w["font_size"] and -0.3 * w["font_size"] < w["x0"] - last["x1"] < 2 * w["font_size"]:
+            last |= {"text": f"{last['text']} {w['text']}", "x0": min(last["x0"], w["x0"]), "y0": min(last["y0"], w["y0"]), "x1": max(last["x1"], w["x1"]), "y1": max(last["y1"], w["y1"])}
+        else:
+            out.append(dict(w))
+    return out
+
+
 def page(file: File, node: dict) -> Page:
     box = [float(file.get(x)) for x in file.get(node.get("MediaBox")) or [0, 0, 612, 792]]
     painter, contents = _Painter(file), file.get(node.get("Contents"))

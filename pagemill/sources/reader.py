@@ -33,7 +33,7 @@ LAYOUT = "page int, width double, height double, words array<struct<text:string,
 WORDS = ("text", "x0", "y0", "x1", "y1", "font_size", "confidence")
 
 
-def pdf_layout(files: DataFrame, key: str = "path", content: str = "content", pages: str = "", max_pages: int | None = None, password: str = "", tools: Tools | None = None, timeout: float | None = None) -> DataFrame:
+def pdf_layout(files: DataFrame, key: str = "path", content: str = "content", pages: str = "", max_pages: int | None = None, password: str = "", tools: Tools | None = None, timeout: float | None = None, granularity: str = "word") -> DataFrame:
     """A row for each selected page, from one reading of its file: its size, words and images, those within forms too; an unreadable file, and one that takes longer than ``timeout`` seconds, has one row with its error, a null content none.
 
     With ``tools``, pages without words are rendered and recognised, and pictures on other pages where it says so.
@@ -51,7 +51,7 @@ def pdf_layout(files: DataFrame, key: str = "path", content: str = "content", pa
                     with deadline(timeout):
                         out = [
                             (k, p, got.width, got.height, [{c: w[c] for c in WORDS} for w in got.words], [dict(zip(("index", "x0", "y0", "x1", "y1"), (i, *map(float, box)), strict=True)) for i, box in enumerate(got.images)], None)
-                            for p, got in read_pages(raw, pages, max_pages, password, tools)
+                            for p, got in read_pages(raw, pages, max_pages, password, tools, granularity)
                         ]
                 except Exception as e:  # a broken file is a row with its error
                     out = [(k, None, None, None, None, None, str(e) or type(e).__name__)]

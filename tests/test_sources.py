@@ -377,3 +377,13 @@ def test_image_sizes():
     webp = b"RIFF" + bytes(4) + b"WEBPVP8X" + bytes(8) + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")
     assert image_size(webp) == (100, 50)
     assert image_size(b"RIFF" + bytes(4) + b"WEBPVP8L" + bytes(4) + b"\x2f" + (199 | 99 << 14).to_bytes(4, "little") + bytes(8)) == (200, 100)
+
+
+def test_lines_as_words(spark):
+    from pagemill.sources.reader import pdf_layout
+
+    file = b.pdf([[("Some words here", 72, 700, 12), ("far off", 400, 700, 12), ("below them", 72, 680, 12)]])
+    rows = spark.createDataFrame([("a", file)], "path string, content binary")
+    words = pdf_layout(rows, granularity="line").first().words
+    assert [w.text for w in words] == ["Some words here", "far off", "below them"]
+    assert words[0].x0 == 72 and words[0].x1 == pdf_layout(rows).first().words[2].x1
