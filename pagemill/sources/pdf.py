@@ -25,6 +25,9 @@ FORM_DEPTH = 8
 TOKEN = re.compile(rb"\s*(?:%[^\r\n]*[\r\n]+\s*)*(<<|>>|\[|\]|\(|<[0-9A-Fa-f\s]*>|/[^\s<>\[\](){}/%]*|[+-]?(?:\d+\.?\d*|\.\d+)|[^\s<>\[\](){}/%]+)")
 
 
+PLAIN_STRING = re.compile(rb"([^()\\]*)\)")
+
+
 class Name(str):
     pass
 
@@ -154,6 +157,8 @@ class Page:
 
 
 def _string(data: bytes, at: int) -> tuple[bytes, int]:
+    if plain := PLAIN_STRING.match(data, at):
+        return plain[1], plain.end()
     out, depth = bytearray(), 1
     escapes = {110: 10, 114: 13, 116: 9, 98: 8, 102: 12}
     while at < len(data):
@@ -497,8 +502,14 @@ class _Painter:
             m0, m1, m2, m3, m4, m5 = _times(text, ctm)
             tall = size * (m2 * m2 + m3 * m3) ** 0.5
             low, high, at, keep = rise - 0.2 * size, rise + 0.8 * size, 0.0, self.chars.append
+            upright = m1 == m2 == 0 and m0 > 0 and m3 > 0
+            bottom, top, wide = m3 * low + m5, m3 * high + m5, size * scale
             for char, w, gap in (font or plain).read(s):
-                end = at + w * size * scale
+                end = at + w * wide
+                if upright:
+                    keep((char, m0 * at + m4, bottom, m0 * end + m4, top, tall))
+                    at = end + (spacing + (word_gap if gap else 0)) * scale
+                    continue
                 xs = m0 * at + m2 * low + m4, m0 * end + m2 * high + m4
                 ys = m1 * at + m3 * low + m5, m1 * end + m3 * high + m5
                 keep((char, min(xs), min(ys), max(xs), max(ys), tall))
@@ -555,17 +566,29 @@ class _Painter:
 def words_of(chars: list[tuple]) -> list[dict]:
     """Words of characters (text, x0, y0, x1, y1, size) in their order: white space, a new line or a wide gap ends one; its box is the union, its size its first character's."""
     out: list[dict] = []
-    last = None
+    last_x, last_y, letters = None, 0.0, []
+    left = bottom = right = top = first = 0.0
+
+    def end() -> None:
+        out.append({"text": "".join(letters), "x0": left, "y0": bottom, "x1": right, "y1": top, "font_size": first})
+        letters.clear()
+
     for c, x0, y0, x1, y1, size in chars:
         if not c or c.isspace():
-            last = None
+            last_x = None
             continue
-        if last is not None and abs(last[2] - y0) < 0.5 * size and -0.3 * size < x0 - last[3] < 0.2 * size:
-            w = out[-1]
-            w |= {"text": w["text"] + c, "x0": min(w["x0"], x0), "y0": min(w["y0"], y0), "x1": max(w["x1"], x1), "y1": max(w["y1"], y1)}
+        if last_x is not None and abs(last_y - y0) < 0.5 * size and -0.3 * size < x0 - last_x < 0.2 * size:
+            letters.append(c)
+            left, bottom = left if left < x0 else x0, bottom if bottom < y0 else y0
+            right, top = right if right > x1 else x1, top if top > y1 else y1
         else:
-            out.append({"text": c, "x0": x0, "y0": y0, "x1": x1, "y1": y1, "font_size": size})
-        last = (c, x0, y0, x1)
+            if letters:
+                end()
+            letters.append(c)
+            left, bottom, right, top, first = x0, y0, x1, y1, size
+        last_x, last_y = x1, y0
+    if letters:
+        end()
     return out
 
 
