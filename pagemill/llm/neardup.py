@@ -5,23 +5,35 @@ so that exact copies cost one row. Likely pairs come from an exact join by the
 rarest shingles of each set or, for high thresholds, from bands of a signature by
 improved consistent weighted sampling over IDF weights, with the exact join for
 what the bands do not reach. The shingle sets themselves decide.
+
+Where the exact join does it all, no shingle is written as a row before it is known
+that it can count: texts stay where they are, packed places of their shingles go
+out to be counted, and one byte a shingle comes back.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.session import cut, ship, spread
+from pagemill.llm.shingles import codes, mix, pack, segments, shingles, unpack
+from pagemill.session import cut, ship, spread, uncut
 
 #: Entries of the table from which the samplers draw their random numbers.
 DRAWS = 1 << 16
 #: The probability with which the bands may miss a pair that is left to them.
 MISS = 1e-8
+#: Words of 64 bits in the mark that a class carries into the join.
+MARK = 4
+#: Bytes of a row of the join of rare shingles, and what a round may shuffle in any case.
+RARE_BYTES, LEAST_BYTES = 24 + 8 * MARK, 32 << 20
 
 
 class Sampler:
@@ -90,15 +102,16 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5,
     """
     spark = records.sparkSession
     ship(spark)
+    reach = (1 - MISS ** (1 / bands)) ** (1 / rows)
+    if threshold < reach:
+        return _without_bands(records, threshold, words, least)
     # Two 64-bit hashes stand for a set. Copies are collapsed by sums that combine before the shuffle.
     sets = cut(shingle_rows(records, words, least).select("tab", "id", "shingles", F.xxhash64("shingles").alias("k1"), F.xxhash64(F.lit(1), F.reverse("shingles")).alias("k2")))
     least_id = sets.groupBy("tab", "k1", "k2").agg(F.min("id").alias("class_id"))
     members = sets.select("tab", "id", "k1", "k2").join(least_id, ["tab", "k1", "k2"]).select("tab", "id", "class_id")
     one = sets.join(least_id.select("tab", F.col("class_id").alias("id")), ["tab", "id"], "left_semi").select("tab", F.col("id").alias("class_id"), F.array_distinct("shingles").alias("shingles"))
     classes = cut(one.withColumn("n", F.size("shingles")))
-    reach = (1 - MISS ** (1 / bands)) ** (1 / rows)
-    pairs = _by_rare_shingles(classes, threshold) if threshold < reach else _by_bands(classes, threshold, rows, bands, crowd, reach)
-    pairs = pairs.distinct()
+    pairs = _by_bands(classes, threshold, rows, bands, crowd, reach).distinct()
     left = classes.select("tab", F.col("class_id").alias("class_a"), F.col("shingles").alias("s_a"), F.col("n").alias("n_a"))
     right = classes.select("tab", F.col("class_id").alias("class_b"), F.col("shingles").alias("s_b"), F.col("n").alias("n_b"))
     alike = pairs.join(left, ["tab", "class_a"]).join(right, ["tab", "class_b"]).withColumn("similarity", _jaccard("s_a", "s_b", "n_a", "n_b"))
@@ -106,6 +119,143 @@ def near_duplicates(records: DataFrame, threshold: float = 0.8, words: int = 5,
     return members.select("tab", F.col("id").alias("rec_id"), "class_id"), links
 
 
+def _without_bands(records: DataFrame, threshold: float, words: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """The (members, links) of near_duplicates by the exact join alone."""
+    kind = dict(records.dtypes)
+    given = records.where("tab is not null and rec_id is not null and text is not null").select("tab", F.col("rec_id").alias("id"), "text")
+    lower = F.lower(F.max("text")).alias("text")  # of several texts for a key the greatest holds
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            record, s = shingles(b["text"], words, least)
+            at = segments(record)
+            sums = [np.add.reduceat(mix(s ^ np.uint64(salt)), at) if len(at) else s for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+            has = pa.array(record[at])
+            yield pa.RecordBatch.from_arrays([b["tab"].take(has), b["id"].take(has), *(pa.array(x.view(np.int64)) for x in sums)], ["tab", "id", "k1", "k2"])
+
+    # Two 64-bit sums stand for a set. Copies are collapsed by sums that combine before the shuffle.
+    sets = cut(given.groupBy("tab", "id").agg(lower).mapInArrow(sign, f"tab {kind['tab']}, id {kind['rec_id']}, k1 bigint, k2 bigint"), free=True)
+    least_id = sets.groupBy("tab", "k1", "k2").agg(F.min("id").alias("class_id"))
+    members = cut(sets.join(least_id, ["tab", "k1", "k2"]).select("tab", F.col("id").alias("rec_id"), "class_id"), free=True)
+    n, size = given.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    rare = _rare_shingles(given, size, members.where("rec_id = class_id").select("tab", F.col("class_id").alias("id")), threshold, words, least)
+    # What a round of either loop shuffles besides the texts is about half as large as they are.
+    rounds = _rounds(rare.agg(F.sum(F.size("shingles"))).first()[0] or 0, RARE_BYTES, size)
+    pairs = [cut(_joined(rare, threshold, k, rounds).distinct(), free=True) for k in range(rounds)]
+    pairs = pairs[0] if rounds == 1 else cut(reduce(DataFrame.unionByName, pairs).distinct(), free=True)
+    uncut(rare)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            (one, s), (other, s_other) = (_distinct(*shingles(b[c], words, least)) for c in ("text_1", "text_2"))
+            either = np.bincount(_distinct(np.concatenate([one, other]), np.concatenate([s, s_other]))[0], minlength=len(b))
+            similarity = (np.bincount(one, minlength=len(b)) + np.bincount(other, minlength=len(b)) - either) / either
+            has = pa.array(np.flatnonzero(similarity >= threshold))
+            yield pa.RecordBatch.from_arrays([*(b[c].take(has) for c in ("tab", "class_a", "class_b")), pa.array(similarity).take(has)], ["tab", "class_a", "class_b", "similarity"])
+
+    rounds, links = _rounds(pairs.count(), 2 * (size // max(n, 1)), size), []
+    for k in range(rounds):
+        some = pairs.where(F.pmod(F.xxhash64("class_a"), F.lit(rounds)) == k)
+        ends = some.select("*", F.explode(F.array("class_a", "class_b")).alias("id"))
+        texts = given.groupBy("tab", "id").agg(lower).join(ends, ["tab", "id"]).groupBy("tab", "class_a", "class_b").agg(F.collect_list("text").alias("t"))  # two
+        texts = texts.select("tab", "class_a", "class_b", F.col("t")[0].alias("text_1"), F.col("t")[1].alias("text_2"))
+        links.append(cut(texts.mapInArrow(decide, f"tab {kind['tab']}, class_a {kind['rec_id']}, class_b {kind['rec_id']}, similarity double"), free=True))
+    return members, reduce(DataFrame.unionByName, links)
+
+
+def _rounds(rows: int, each: int, size: int) -> int:
+    return max(1, -(-rows * each // max(size // 2, LEAST_BYTES)))
+
+
+def _distinct(record: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs in order."""
+    order = np.lexsort((s, record))
+    record, s = record[order], s[order]
+    once = np.ones(len(s), bool)
+    once[1:] = (s[1:] != s[:-1]) | (record[1:] != record[:-1])
+    return record[once], s[once]
+
+
+def _lists(s: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Lists of bigint that begin at these places."""
+    return pa.ListArray.from_arrays(pa.array(np.append(at, len(s)), pa.int32()), pa.array(s.view(np.int64)))
+
+
+def _rare_shingles(given: DataFrame, size: int, classes: DataFrame, threshold: float, words: int, least: int) -> DataFrame:
+    """(tab, class_id, n, shared, shingles, mark) of the classes that can be alike any other: how many distinct shingles a class has, how many of these other classes may have as well, the rarest of the latter as far as _joined needs them, and the parities of the number of the latter in each of 64 * MARK places.
+
+    Texts are shuffled once, into groups. A group sends the first bits of its hashes to
+    where they are counted, sorted and packed, and gets one byte for each in return.
+    Hashes that begin alike are counted together, so a shingle may seem shared that
+    is not, but never the reverse.
+    """
+    kind = dict(given.dtypes)
+    groups = max(1, min(64, size >> 20), size >> 24)
+    share = (groups - 1).bit_length()  # 2 ** share parts of the hashes are counted apart
+    within = max(int(2 * size).bit_length(), 16 + share) - share
+    group = F.pmod(F.xxhash64("tab", "id"), F.lit(groups)).cast("int").alias("gid")
+    texts = given.select(group, "*").repartition("gid").groupBy("gid", "tab", "id").agg(F.lower(F.max("text")).alias("text")).withColumn("salt", F.xxhash64("tab"))
+
+    def hashed(texts: pa.Table, side: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+        """The classes of a group; of each distinct shingle the class's number and the hash, by both, and the first bits."""
+        wanted = set(zip(side["tab"].to_pylist(), side["id"].to_pylist(), strict=True))
+        texts = texts.filter(pa.array([x in wanted for x in zip(texts["tab"].to_pylist(), texts["id"].to_pylist(), strict=True)], pa.bool_()))
+        record, s = shingles(pa.concat_arrays([pa.array([], pa.large_binary()), *texts["text"].cast(pa.large_binary()).chunks]), words, least)
+        record, s = _distinct(record, s)
+        salt = texts["salt"].to_numpy().view(np.uint64)
+        return texts, record, s, mix(s ^ salt[record]) >> np.uint64(64 - share - within)
+
+    def bounds(sorted_first: np.ndarray) -> np.ndarray:
+        return np.searchsorted(sorted_first, np.arange((1 << share) + 1, dtype=np.uint64) << np.uint64(within))
+
+    def places(texts: pa.Table, side: pa.Table) -> pa.Table:
+        first = np.sort(hashed(texts, side)[3]) if len(texts) else np.zeros(0, np.uint64)
+        at = bounds(first)
+        parts = np.flatnonzero(np.diff(at))
+        packed = [pack(first[at[p] : at[p + 1]] - (np.uint64(p) << np.uint64(within)), within) for p in parts]
+        gid = np.full(len(parts), texts["gid"][0].as_py() if len(texts) else 0)
+        return pa.table({"part": pa.array(parts, pa.int32()), "gid": pa.array(gid, pa.int32()), "n": pa.array(np.diff(at)[parts], pa.int32()), "packed": pa.array(packed, pa.binary())})
+
+    def count(rows: pa.Table) -> pa.Table:
+        n = rows["n"].to_pylist()
+        every = np.concatenate([unpack(x.as_buffer(), k, within) for x, k in zip(rows["packed"], n, strict=True)])
+        _, of, counts = np.unique(every, return_inverse=True, return_counts=True)
+        code, ends = codes(counts)[of], np.cumsum(n)
+        packed = [zlib.compress(code[e - k : e].tobytes()) for e, k in zip(ends, n, strict=True)]
+        return pa.table({"gid": rows["gid"], "part": rows["part"], "packed": pa.array(packed, pa.binary())})
+
+    def rank(texts: pa.Table, side: pa.Table) -> pa.Table:
+        back = side.filter(side["part"].is_valid())
+        texts, record, s, first = hashed(texts, side.filter(side["part"].is_null()))
+        code, order = np.zeros(len(s), np.uint8), np.argsort(first, kind="stable")
+        answers = dict(zip(back["part"].to_pylist(), back["packed"].to_pylist(), strict=True))
+        at = bounds(first[order])
+        for p in np.flatnonzero(np.diff(at)).tolist():
+            code[order[at[p] : at[p + 1]]] = np.frombuffer(zlib.decompress(answers[p]), np.uint8)
+        n, some = np.bincount(record, minlength=len(texts)), np.bincount(record[code > 0], minlength=len(texts))
+        need = np.ceil(n * threshold - 1e-9).astype(np.int64)
+        kept = (n > 0) & (some >= need)
+        use = (code > 0) & kept[record]
+        record, s, code = record[use], s[use], code[use]
+        order = np.lexsort((s, code, record))
+        record, s, at = record[order], s[order], segments(record)
+        bit = np.uint64(1) << (s & np.uint64(63))
+        of = (s >> np.uint64(6)) % np.uint64(MARK)
+        marks = [np.bitwise_xor.reduceat(np.where(of == k, bit, np.uint64(0)), at).view(np.int64) if len(at) else np.zeros(0, np.int64) for k in range(MARK)]
+        of = record[at]
+        first = some[of] - need[of] + 1
+        s = s[np.arange(len(s)) - np.repeat(at, some[of]) < np.repeat(first, some[of])]
+        given = {"tab": texts["tab"].take(pa.array(of)), "class_id": texts["id"].take(pa.array(of)), "n": pa.array(n[of], pa.int32()), "shared": pa.array(some[of], pa.int32())}
+        return pa.table(given | {"shingles": _lists(s, np.cumsum(first) - first), **{f"mark{k}": pa.array(x) for k, x in enumerate(marks)}})
+
+    none = {"part": F.lit(None).cast("int"), "packed": F.lit(None).cast("binary")}
+    wanted = classes.select(group, "tab", "id").withColumns(none)
+    places_of = texts.groupBy("gid").cogroup(wanted.groupBy("gid")).applyInArrow(places, "part int, gid int, n int, packed binary")
+    counted = places_of.groupBy("part").applyInArrow(count, "gid int, part int, packed binary")
+    side = wanted.unionByName(counted, allowMissingColumns=True)
+    return cut(texts.groupBy("gid").cogroup(side.groupBy("gid")).applyInArrow(rank, f"tab {kind['tab']}, class_id {kind['id']}, n int, shared int, shingles array<bigint>, {', '.join(f'mark{k} bigint' for k in range(MARK))}"), free=True)
+
+
 def with_frequencies(classes: DataFrame, shared: bool = False) -> DataFrame:
     """(tab, class_id, n, shingles, df): the shingles of each class with the number of classes each is in, rarest first; with ``shared`` only those of two classes or more.
 
@@ -187,12 +337,23 @@ def _by_rare_shingles(classes: DataFrame, threshold: float) -> DataFrame:
     share enough others must be left in both. Shingles of one class alone keep
     their places, which are the first, but are left out of the join.
     """
-    ordered = with_frequencies(classes, shared=True).withColumn("shared", F.size("shingles"))
+    return _joined(with_frequencies(classes, shared=True).withColumn("shared", F.size("shingles")), threshold)
+
+
+def _joined(ordered: DataFrame, threshold: float, k: int = 0, rounds: int = 1) -> DataFrame:
+    """The pairs of _by_rare_shingles from (tab, class_id, n, shared, shingles), those of the k-th of so many shares of all shingles; where there are marks, without those whose marks differ too much."""
+    marked = [c for c in ordered.columns if c.startswith("mark")]
     first = F.col("shared") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    rare = ordered.select("tab", "class_id", "n", "shared", F.posexplode(F.slice("shingles", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "s"))
-    rare = rare.select("tab", "class_id", "n", (F.col("shared") - F.col("at")).alias("left"), "s")  # left: the shingle itself and those after it
-    a, b = (rare.select("tab", "s", F.col("class_id").alias(f"class_{x}"), F.col("n").alias(f"n_{x}"), F.col("left").alias(f"left_{x}")) for x in "ab")
-    enough = F.least("left_a", "left_b") * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9
+    rare = ordered.select("tab", "class_id", "n", "shared", *marked, F.posexplode(F.slice("shingles", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "s"))
+    if rounds > 1:
+        rare = rare.where(F.pmod("s", F.lit(rounds)) == k)
+    rare = rare.select("tab", "class_id", "n", "shared", *marked, (F.col("shared") - F.col("at")).alias("left"), "s")  # left: the shingle itself and those after it
+    a, b = (rare.select("tab", "s", *(F.col(c).alias(f"{c.removesuffix('_id')}_{x}") for c in ("class_id", "n", "shared", *marked, "left"))) for x in "ab")
+    both = F.least("left_a", "left_b")
+    if marked:  # places where the parities differ hold a shingle that is not in both
+        apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in marked), F.lit(0))
+        both = F.least(both, (F.col("shared_a") + F.col("shared_b") - apart) / 2)
+    enough = both * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9
     return a.join(b, ["tab", "s"]).where(_ordered(threshold) & enough).select("tab", "class_a", "class_b")
 
 

@@ -14,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def session(master: str | None = None, cores: int = 8) -> SparkSession:
@@ -60,8 +61,8 @@ def spread(df: DataFrame, *keys: str, least: int = 2) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from the shared checkpoint folder, so that a long plan is not computed again. spark.checkpoint.dir names the folder; where it is unset, a local master gets one of its own and any other is an error."""
+def cut(df: DataFrame, free: bool = False) -> DataFrame:
+    """The same rows read back from the shared checkpoint folder, so that a long plan is not computed again; with ``free`` the shuffle files of that plan are removed as soon as the rows are written. spark.checkpoint.dir names the folder; where it is unset, a local master gets one of its own and any other is an error."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -71,4 +72,19 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="pagemill-checkpoints-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    if not free:
+        return df.checkpoint(eager=True)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # planned anew, since a plan has the setting of its time
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def uncut(df: DataFrame) -> None:
+    """Removes the files of a checkpoint that nothing will read again."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,14 +2,17 @@ import itertools
 import random
 import re
 import unicodedata
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.llm import canonical, garbled, leakage, mixture, neardup, pii, pii_model, quality, queries, scan_repair, split
-from pagemill.session import table
+from pagemill.llm import shingles as packed
+from pagemill.session import cut, table
 
 WORDS = "word_id bigint, doc_id bigint, page int, seq int, text string, x0 double, y0 double, x1 double, y1 double, confidence double, restored string, n bigint, w string"
 
@@ -334,6 +337,58 @@ def test_near_duplicates_of_a_hot_group(spark, threshold, edits):
     assert got == want and len(want) > 100
 
 
+def test_shingles_are_not_written_as_rows(spark, tmp_path):
+    """What goes through shuffles and stays in checkpoints, against the bytes of texts that have nothing in common."""
+    r = random.Random(6)
+    rows = [("t", k, " ".join(f"{r.randrange(16**6):x}" for _ in range(120))) for k in range(3000)]
+    spark.createDataFrame(rows, "tab string, rec_id bigint, text string").write.parquet(str(tmp_path / "t"))
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    kept = lambda: sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    moved, on_disk, size = shuffled(), kept(), sum(len(t) for *_, t in rows)
+    members, links = neardup.near_duplicates(spark.read.parquet(str(tmp_path / "t")), threshold=0.5, words=3)
+    assert members.count() == 3000 and links.count() == 0
+    assert (shuffled() - moved) / size < 4 and (kept() - on_disk) / size < 0.5
+
+
+def test_checkpoints_may_free_the_shuffle_files(spark):
+    files = lambda: sum("shuffle" in p for p in str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()).split(","))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key, None), files()
+    df = cut(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count(), free=True)
+    assert files() <= before and spark.conf.get(key, None) == setting
+    assert df.count() == 7 and df.agg(F.sum("count")).first()[0] == 1000
+
+
+def test_shingle_hashes_against_words(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(r.choice(["a", "b", "é", "字", " ", "\t", "\r\n", "\u00a0", "x" * 300]) for _ in range(r.randrange(90))) for _ in range(200)] + ["", " ", "one two"]
+    want = []
+    for k, text in enumerate(texts):
+        w = [x for x in re.split("[ \t\r\n]+", text) if x]
+        want += [(k, tuple(w[i : i + 3])) for i in range(len(w) - 2) if len(w) >= 9]
+    seen = []
+    for chunk in (1 << 20, 100):
+        monkeypatch.setattr(packed, "CHUNK", chunk)
+        record, s = packed.shingles(pa.array(["skipped", *texts])[1:], 3, 9)
+        assert record.tolist() == [k for k, _ in want]
+        seen.append(s.tolist())
+    assert seen[0] == seen[1] and len(set(zip(seen[0], (w for _, w in want)))) == len(set(seen[0])) == len({w for _, w in want}) > 500
+
+
+@pytest.mark.parametrize("count,bits", [(1, 1), (1, 50), (3, 4), (900, 10), (900, 40), (5000, 12)])
+def test_packed_numbers_come_back(count, bits):
+    numbers = np.sort(np.random.default_rng(count).integers(0, 1 << bits, count).astype(np.uint64))
+    data = packed.pack(numbers, bits)
+    assert (packed.unpack(data, count, bits) == numbers).all() and len(data) <= count * (max(bits - count.bit_length(), 0) + 3) / 8 + 2
+
+
+def test_codes_keep_the_order_of_counts():
+    counts = np.array([1, 2, 3, 32, 33, 40, 1000, 10**9, 2**61])
+    code = packed.codes(counts)
+    assert code[0] == 0 and (np.diff(code.astype(int)) >= 0).all() and code[1] > 0 and code[-1] > code[-2] > code[-3]
+
+
 def test_sampler_estimates_weighted_jaccard():
     r = np.random.default_rng(1)
     ids, sampler = r.integers(0, 1 << 63, 60).astype(np.uint64), neardup.Sampler(4000)
